@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from papyrine.plans import aggregates, dialect, findings, increments, listings, relations, scalars, windows
+
+FLAGSHIP = "r1_recurring_limitations"
+
 QUERIES: dict = {}
 SQL: dict = {}
-FLAGSHIP = "r1_recurring_limitations"
+for _module in (listings, aggregates, windows, scalars, relations, findings, increments):
+    _queries, _sql = dialect.queries(_module.TEMPLATES)
+    QUERIES |= _queries
+    SQL |= _sql
