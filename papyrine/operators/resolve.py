@@ -1,0 +1,26 @@
+"""Entity resolution (D10): match edges of blocked rules, connected components, survivor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from papyrine.operators.components import connected_components
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """``id, entity`` of records ``id, title, year, author, quality``: equal normalised titles within two years and one author.
+
+    A record is linked to the one before it in its block (title and author, in
+    order of year), which joins the same components as all its pairs. The
+    survivor of a component is its record of best quality, ties to the smaller
+    id. Null titles, authors or years link nothing.
+    """
+    title = F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
+    keyed = records.withColumn("key", title).where(F.length("key") >= 1)
+    block = Window.partitionBy("key", "author").orderBy("year", "id")
+    before = keyed.where("author IS NOT NULL AND year IS NOT NULL").select("id", "year", F.lag("id").over(block).alias("prev"), F.lag("year").over(block).alias("prev_year"))
+    edges = before.where("prev IS NOT NULL AND year - prev_year <= 2").select(F.col("prev").alias("src"), F.col("id").alias("dst"))
+    comps = connected_components(edges)
+    named = records.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    survivor = named.groupBy("component").agg(F.min(F.struct((-F.col("quality")).alias("q"), "id"))["id"].alias("entity"))
+    return named.join(survivor, "component").select("id", "entity")
