@@ -196,9 +196,9 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     bounds = [None, *sorted({(r["k"]["u"], r["k"]["t"]) for r in cuts}), None]
     pairs = [(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)]
     ranges = spark.createDataFrame([(i, *(a or (None, None)), *(b or (None, None))) for i, a, b in pairs], "range int, u0 string, t0 string, u1 string, t1 string")
-    # A range's task gets all names of runs, a few bytes each, and streams through the runs' groups of rows.
-    names = runs.agg(F.sort_array(F.collect_list("run")).alias("runs"))
-    work = ranges.repartition(len(pairs), "range").join(F.broadcast(names)) if total else ranges.limit(0).withColumn("runs", F.array().cast("array<string>"))
+    # A name for every RUN_ROWS captures; a task opens those runs whose keys meet its range, and streams through them.
+    names = sorted(r["run"] for r in runs.select("run").collect())
+    work = ranges.repartition(len(pairs), "range") if total else ranges.limit(0)
 
     def read(store, path: str, low, high) -> Iterator[tuple]:
         import pyarrow.parquet as pq
@@ -219,7 +219,7 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
             for r in batch.to_pylist():
                 low = None if r["u0"] is None else (r["u0"], r["t0"])
                 high = None if r["u1"] is None else (r["u1"], r["t1"])
-                merged = loser_tree([read(store, f"{root}/{x}", low, high) for x in r["runs"]])
+                merged = loser_tree([read(store, f"{root}/{x}", low, high) for x in names])
                 block: list[tuple] = []
 
                 def out() -> pa.RecordBatch:
