@@ -1,0 +1,294 @@
+"""The corpus operators against brute force, on small and awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from papyrine.llm import classifier, license, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+
+path = pytest.importorskip("public_tokenizers").path
+
+TEXTS = [None, "", " \n", "a", "one two three four", "The CAT sat on the mat. " * 30, "x " * 400, "é ☃ \t tabs\x0bhere", "no#%% $$$ *** " * 40, "Line\nLine\nLine\nother line here\n", "word" * 3000]
+
+
+def documents(spark, texts=TEXTS, extra=True):
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, "lost id", None, None, None), (3, "a", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", "1 AS quality", "'x' AS fp", "doc_id AS component", "text AS t") if extra else df
+
+
+def test_fingerprint_brute_force():
+    import xxhash
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 4, 40):
+        words = [rng.choice(["Ab", "cÉ", "d,", "e"]) for _ in range(n)]
+        text = " \t".join(words)
+        low = [w.encode().lower() for w in words]
+        grams = [b" ".join(low[i : i + 3]) for i in range(max(1, n - 2))] if n else []
+        want = sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(g, 42) >> b & 1 for g in grams) > len(grams)) if grams else 0
+        assert simhash.fingerprint(text) == want
+
+
+def test_near_links_give_components_of_all_pairs():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    near = base[:700] ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
+    cluster = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 24, 900, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 24, 900, dtype=np.uint64))
+    values = np.unique(np.concatenate([base, near, cluster]))
+    parent = {int(v): int(v) for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for half in (0, 1):
+        for a, b in zip(*simhash.stars(values, half)):
+            a, b = find(int(a)), find(int(b))
+            parent[max(a, b)] = min(a, b)
+    got = [find(int(v)) for v in values]
+    label = np.arange(len(values))
+    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    while True:
+        new = np.where(close, label[None, :], len(values)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert len(set(zip(got, label.tolist()))) == len(set(got)) == len(set(label.tolist()))
+
+
+def test_shards_keep_near_pairs_together():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    for half in (0, 1):
+        heap = simhash.shard_tree(values[:1000], half, 4)
+        other = values ^ (np.uint64(1) << np.uint64(40 - 36 * half))
+        shards = [{}, {}]
+        for k, v in enumerate((values, other)):
+            for i, s in zip(*simhash.deal(v, heap, half)):
+                shards[k].setdefault(int(i), set()).add(int(s))
+        assert all(shards[0][i] & shards[1][i] for i in range(len(values)))
+
+
+def test_near_components_of_awkward_rows(spark):
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_components(documents(spark)).collect()}
+    assert {(0, 0), (1, 0), (2, 0), (3, 3)} <= got and any(d is None for d, _ in got)
+    assert simhash.near_components(documents(spark).limit(0)).count() == 0
+
+
+def test_top_k_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(90)]
+    rows += [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [1.0, float("nan"), 0.0, 0.0]), (None, [1.0] * 4), rows[5], (93, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5).selectExpr("*", "1 AS salt", "2 AS shard")
+    got = {}
+    for r in topk.top_k(df, df["vec_id"] % 20 == 0, 7, query_rows=3, shard_rows=11).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    vectors = dict(rows[:90])
+    for q in (0, 20, 40, 60, 80):
+        scored = sorted((-sum(int(a * b) for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert set(got) == {0, 20, 40, 60, 80}
+
+
+def test_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    ids, whole = packing.Ids(path("byte_bpe_50k.json")), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    odd = ["  two  spaces\n\n\nlines \t x", "a<|endoftext|>b", "\x1c\x1d!\x85 ?", "don't we'll I'D 12ab", "  wide  ", "🙂🙂 é́", " ", "\n ", "x \n"]
+    for t in odd + [t or "" for t in TEXTS]:
+        assert np.frombuffer(ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_is_whole_gapless_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    docs = documents(spark)
+    whole = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rows = packing.pack(docs, path("byte_bpe_50k.json"), capacity=64).collect()
+    filled = {}
+    for r in rows:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(filled) <= -(-sum(r["length"] for r in rows) // 64) + 1
+    want = Counter()
+    for r in docs.collect():
+        ids = whole.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        for k, (s, n) in enumerate(packing.cut(len(ids), 64)):
+            want[r["doc_id"], k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    assert packing.pack(docs.limit(0), path("byte_bpe_50k.json")).count() == 0
+
+
+def test_local_search_empties_bins():
+    before = Counter({(5, 1): 1, (4, 1): 1, (3, 2): 1, (2, 1): 1})
+    after = packing.local_search(before, 8)
+    assert sum(after.values()) < 4 and all(sum(p) <= 8 for p in after)
+    count = lambda x: Counter(y for p, n in x.items() for _ in range(n) for y in p)
+    assert count(after) == count(before)
+
+
+def test_n_best_brute_force(spark):
+    model = path("piece_bpe_32k.model")
+    encoder, decoder = pieces.Encoder(model, 4), pieces.Decoder(model)
+    m = encoder.model
+
+    def every(line, at=0, score=0.0, ids=()):
+        if at == len(line):
+            yield score, ids
+        for end in range(at + 1, min(len(line), at + m.longest) + 1):
+            i = m.index.get(line[at:end])
+            if i is not None:
+                yield from every(line, end, score + m.scores[i], (*ids, i))
+        if at < len(line) and line[at] not in m.index:
+            yield from every(line, at + 1, score + m.penalty, ids + m.unknown_ids(line[at]))
+
+    for t in ("the cat", "a, b", "x\ny z", "é ☃!", "hi  yo", "", "s._,b"):
+        want = sorted((s for s, _ in every(m.normalise(t))), reverse=True)[:4]
+        found = encoder.n_best(t)
+        assert [round(s, 4) for s, _ in found] == [round(s, 4) for s in want]
+        assert len({x for _, x in found}) == len(found) and all(decoder(x) == t for _, x in found)
+    rows = pieces.round_trip(documents(spark), model, 2).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(r["round_trip"] is not False for r in rows)
+    back = pieces.decode(pieces.encode(documents(spark), model, 2), model)
+    assert {r["doc_id"]: r["text"] for r in back.collect()}[5] == TEXTS[5]
+
+
+def test_quality_base_counts_brute_force(spark):
+    df, name = quality.judged(documents(spark))
+    got = {r["doc_id"]: r[name] for r in df.collect() if r["doc_id"] is not None}
+    for i, t in enumerate(TEXTS):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = Counter(zip(words, words[1:], words[2:]))
+        covered = {j for k in range(len(words) - 2) if seen[tuple(words[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert [got[i][x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)]
+        assert got[i]["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+    kept = quality.keep_good(documents(spark))
+    assert kept.columns == documents(spark).columns
+    assert quality.judged(documents(spark).limit(0))[0].count() == 0
+
+
+def test_estimates_separate_two_kinds():
+    model = quality.estimate([((1, 0, 0), 900), ((0, -1, 0), 60), ((0, 0, -1), 40)], 3)
+    p = lambda v: quality.posterior(v, model["share"], model["prob"])
+    assert p((1, 0, 0)) > 0.9 and p((0, -1, 0)) < 0.1 and p((0, 0, -1)) < 0.1
+
+
+def synthetic(rng, toxic):
+    words = [rng.choice(["alpha", "beta", "gamma", "delta", "omega", "river", "stone"]) + rng.choice(["", "s", "n"]) for _ in range(80)]
+    if toxic:
+        for _ in range(4):
+            words[rng.randrange(80)] = rng.choice(["wretchling", "wretchlings", "foulmaggot", "foulmaggots"])
+    return " ".join(words)
+
+
+def test_toxicity_held_out_and_misspelt():
+    rng = random.Random(4)
+    labels = [i % 4 == 0 for i in range(400)]
+    model = toxicity.train([synthetic(rng, x) for x in labels], [int(x) for x in labels])
+    scorer = toxicity.Scorer(model)
+    fresh = [(synthetic(rng, x), x) for x in [True, False] * 40]
+    assert sum((scorer(t) >= 0.7) == x for t, x in fresh) >= 76
+    assert scorer(synthetic(rng, False) + " wretchlingg") > scorer(synthetic(rng, False))
+
+
+def test_toxicity_awkward_rows(spark):
+    labels = spark.createDataFrame([(0, 1), (5, 0), (8, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(documents(spark), labels).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["doc_id"]: r["held_out"] for r in rows if r["doc_id"] is not None} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(TEXTS))}
+    assert toxicity.keep_clean(documents(spark), labels).columns == documents(spark).columns
+
+
+def test_classifier_rejects_junk(spark):
+    rng = random.Random(6)
+    good = [synthetic(rng, False) for _ in range(60)]
+    junk = [" ".join(w + "###" for w in synthetic(rng, False).split()) for _ in range(15)]
+    rows = classifier.classify(documents(spark, good + junk)).collect()
+    kept = {r["doc_id"]: r["kept"] for r in rows if r["doc_id"] is not None and r["doc_id"] != 3}
+    assert sum(kept[i] for i in kept if i < 60) >= 57 and sum(kept[i] for i in kept if i >= 60) <= 1
+    assert len(classifier.classify(documents(spark)).collect()) == len(TEXTS) + 2
+
+
+def test_pseudonyms(spark):
+    texts = ["call +1 (407) 555-7710 now", "pay 4111111111111111 or 4111 1111 1111 1111", "not 4111111111111112", "ip 97.51.17.173, 300.1.1.1", "ssn 123-45-6789 000-12-3456", "on 1999-02-28 and 28/02/1999, not 1999-02-30", "to a.b@c.example.com.", None, "", "97.51.17.173 4111111111111111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumnRenamed("doc_id", "i")
+    out = {r["i"]: r["p"] for r in df.select("i", pii.pseudonymise(df["text"]).alias("p")).collect()}
+    luhn = lambda s: sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(s))) % 10 == 0
+    cards = re.findall(r"\d{16}", out[1]["text"])
+    assert luhn(cards[0]) and cards[0] != "4111111111111111" and out[1]["text"].replace(" ", "").endswith("or" + cards[0])
+    assert out[2]["text"] == texts[2] and out[3]["text"].endswith(", 300.1.1.1") and out[4]["text"].endswith(" 000-12-3456")
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", out[0]["text"]) and out[0]["text"] != texts[0]
+    iso, slashed = re.match(r"on (\S+) and (\S+),", out[5]["text"]).groups()
+    assert "/".join(reversed(iso.split("-"))) == slashed and out[5]["text"].endswith("1999-02-30")
+    assert out[7]["text"] is None and out[8]["text"] == "" and "@c." not in out[6]["text"]
+    assert out[9]["text"] == out[3]["text"].split()[1].rstrip(",") + " " + cards[0]
+
+
+def test_feistel_is_a_permutation(spark):
+    from pyspark.sql import functions as F
+
+    for a, b in ((25, 40), (7, 1), (3, 11)):
+        got = [r[0] for r in spark.range(a * b).select(pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", "t")).collect()]
+        assert sorted(got) == list(range(a * b))
+
+
+def test_license_rules(spark):
+    texts = ["Copyright (c) 2019 A. B.\nPermission is hereby granted, free of charge, to any person obtaining a copy of it. The above copyright notice and this permission notice shall be included.", "Licensed under the Apache License, Version 2.0.", None, "", "A strange licence of ours.", "Redistributions of source code must retain x; Redistribution and use in source and binary forms."]
+    got = {r["doc_id"]: r for r in license.scan(documents(spark, texts)).collect() if r["doc_id"] is not None and r["doc_id"] != 3}
+    assert [got[i]["licenses"] for i in (0, 1, 2, 4, 5)] == ["MIT", "Apache-2.0", "", "", ""]
+    assert got[4]["sentence_ids"] == "unknown" and got[5]["n_unmatched"] == 2
+
+
+def test_loser_tree():
+    rng = random.Random(8)
+    for k in (0, 1, 2, 3, 7):
+        runs = [sorted((rng.randrange(9), i) for _ in range(rng.randrange(12))) for i in range(k)]
+        assert list(warc.loser_tree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_warc_round_trip_and_order(spark):
+    big, other = "<p>ü</p>" * 200, "<b>x</b>" * 300
+    rows = [(1, "http://b.example/x", big), (2, "http://a.example/", big), (3, None, big), (4, "http://a.example/?q=1#f", "small"), (5, "u", "small"), (6, "", None), (7, "http://[bad", other), (8, "http://a.example:8080/WARC/1.1\r\n", other + "WARC/1.1\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS first").repartition(3)
+    _, index, back = warc.archive(df)
+    got = {r["page_id"]: r for r in back.collect()}
+    for i, _, html in rows:
+        data = (html or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
+    assert {i: r["refers_to"] for i, r in got.items()} == {1: 3, 2: 3, 3: None, 4: None, 5: None, 6: None, 7: None, 8: None}
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got.values())
+    keys = [(r["urlkey"], r["ts"]) for r in sorted(index.collect(), key=lambda r: r["range"])]
+    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert warc.archive(df.limit(0))[2].count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [synthetic(rng, False) for _ in range(30)]
+    texts += [texts[0], texts[1] + " call +1 (407) 555-7710", None, "short"]
+    docs = documents(spark, texts, extra=False)
+    labels = "/root/testdata/sf0.001"
+    good = corpus_pipeline.quality_rules(spark, docs, labels)
+    assert good.columns == docs.columns and 28 <= good.count() <= 32
+    unique = corpus_pipeline.near_duplicates(spark, good, labels)
+    ids = [r["doc_id"] for r in unique.collect()]
+    assert 0 in ids and 30 not in ids and len(ids) == len(set(ids))
+    clean = corpus_pipeline.personal_data(spark, unique, labels)
+    assert clean.columns == docs.columns and "555-7710" not in " ".join(r["text"] for r in clean.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, clean, labels).collect()} == set(ids)
