@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings, averaged, under a linear softmax; all trained jointly in numpy.
 
-A word is the bag of its character 3- to 6-grams, hashed into a table of
+A word is the bag of its n-grams of 3, 5 and 7 bytes, hashed into a table of
 embeddings, so that an unseen misspelling shares most vectors with the word it
 comes from. A window of words is the mean of its words. As one insult in a long
 text is enough, a text counts by its most toxic window: each epoch takes every
@@ -11,6 +11,7 @@ fold into one number for each n-gram bucket, and a text costs one lookup a word.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ WINDOW, STEP = 6, 3
 BUCKETS, DIM, EPOCHS, BATCH, RATE, DECAY, POSITIVE_WEIGHT = 1 << 18, 8, 8, 64, 0.2, 1e-4, 3.0
 #: Epochs that see bags of so many words, and texts that a bucket must be in to be trained.
 BAG_EPOCHS, BAG_WORDS, MIN_TEXTS = 3, 150, 4
-GRAMS = (3, 4, 5, 6)
+LAST_BUCKET = BUCKETS - 1
+GRAMS = (3, 5, 7)
 #: The training sample: so many labelled texts at most, none with more characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 65_536
 #: Words whose scores a worker remembers.
@@ -30,9 +32,10 @@ TOXIC_AT = 0.7
 
 
 def gram_buckets(word: str) -> list[int]:
-    """The buckets of a word's character n-grams, in lower case and with its ends marked."""
-    marked = "<" + word.strip(".,;:!?\"'()[]*#$%&|").lower()[:64] + ">"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in GRAMS for i in range(max(1, len(marked) - n + 1))]
+    """The buckets of a word's n-grams of UTF-8 bytes, in lower case and with its ends marked."""
+    marked = b"<" + word.strip(".,;:!?\"'()[]*#$%&|").lower()[:64].encode("utf-8", "replace") + b">"
+    size, crc = len(marked), zlib.crc32
+    return [crc(marked[i : i + n]) & LAST_BUCKET for n in GRAMS for i in range(max(1, size - n + 1))]
 
 
 def window_bounds(n: int) -> np.ndarray:
@@ -67,10 +70,13 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict:
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").split()], np.int64) for t in texts]
-    grams = [gram_buckets(w) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams], np.int64)
-    flat = np.array([b for g in grams for b in g], np.int64)
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").split()], np.int32) for t in texts]
+    buckets, counts = array("i"), array("i")
+    for w in vocabulary:
+        own = gram_buckets(w)
+        buckets.extend(own)
+        counts.append(len(own))
+    sizes, flat = np.array(counts, np.int64), np.frombuffer(buckets, np.int32) if buckets else np.zeros(0, np.int32)
     starts = np.cumsum(sizes) - sizes
     distinct = [np.unique(d) for d in docs]
     seen = np.zeros(BUCKETS, np.int64)
@@ -86,7 +92,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict:
     held, fit = some[::5], np.array([i for k, i in enumerate(some) if k % 5], np.int64)
 
     def word_scores() -> np.ndarray:
-        return np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[flat], starts) / sizes if len(sizes) else np.zeros(0)
+        return np.add.reduceat((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[flat], starts) / sizes if len(sizes) else np.zeros(0)
 
     for epoch in range(EPOCHS if len(fit) and 0 < y[fit].sum() < len(fit) else 0):
         scores = word_scores()
@@ -157,22 +163,23 @@ class Scorer:
     """Scores texts with a trained model; remembers the scores of words."""
 
     def __init__(self, model: dict):
-        self.bucket, self.scale, self.shift = model["bucket"], model["scale"], model["shift"]
-        scorer = self
+        self.scale, self.shift = model["scale"], model["shift"]
+        self.lowest = float(model["bucket"].min())
+        value_of = model["bucket"].tolist().__getitem__
 
         class Words(dict):
             def __missing__(self, word: str) -> float:
                 if len(self) >= CACHE:
                     self.clear()
                 at = gram_buckets(word)
-                self[word] = value = float(scorer.bucket[at].mean())
+                self[word] = value = sum(map(value_of, at)) / len(at)
                 return value
 
         self.words = Words()
 
     def __call__(self, text: str | None) -> float:
         words = (text or "").split()
-        mean = top_window(np.fromiter(map(self.words.__getitem__, words), np.float64, len(words)))[0] if words else float(self.bucket.min())
+        mean = top_window(np.fromiter(map(self.words.__getitem__, words), np.float64, len(words)))[0] if words else self.lowest
         return 1 / (1 + float(np.exp(-np.clip(self.scale * mean + self.shift, -30, 30))))
 
 
