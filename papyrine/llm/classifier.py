@@ -138,7 +138,10 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
 
     counted = own.select("t").mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # a row for each pattern
     model = quality.estimate([(tuple(r["votes"]), r["n"]) for r in counted], len(LABELLERS))
-    rows = own.where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(SAMPLE_ROWS).collect()
+    # The sample's hashes come first and alone, so that only the sample's texts reach the driver.
+    short = own.where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS).withColumn("h", F.xxhash64("doc_id"))
+    hashes = short.select("h").orderBy("h").limit(SAMPLE_ROWS).collect()
+    rows = short.where(F.col("h") <= hashes[-1]["h"]).select("t").limit(SAMPLE_ROWS).collect() if hashes else []
     texts = [r["t"] for r in rows]
     weights = train(texts, [quality.posterior(votes(statistics(t)), model["share"], model["prob"]) for t in texts])
     start, terms = quality.log_odds(model["share"], model["prob"])
