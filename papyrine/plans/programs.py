@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from papyrine.functions import intents, statistics
 from papyrine.operators import folds
+from papyrine.operators.chunks import section_chunks
 from papyrine.operators.components import connected_components
 from papyrine.operators.kmeans import kmeans
+from papyrine.operators.matching import popularity_matches
 from papyrine.operators.resolve import resolve
 from papyrine.operators.similarity import similar_pairs
+from papyrine.operators.titles import fuzzy_titles
 from papyrine.streaming import events as stream
 
 
@@ -54,6 +58,46 @@ def t12_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.admit(_read(spark, sf_dir, "events"), "user_id", "value", 1500.0, "event_id")
 
 
+def f18_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut to 500 estimated tokens, each chunk with its length and digest."""
+    found = section_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text", 500)
+    return found.select("doc_id", "chunk", "tokens", F.length("text").cast("long").alias("length"), F.sha2("text", 256).alias("digest"))
+
+
+def d11_fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that are nearly equal; odd keys stand for preprints."""
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("title"), (F.col("p_partkey") % 2 == 1).alias("preprint"))
+    return fuzzy_titles(rows).withColumn("ratio", F.round("ratio", 6))
+
+
+def j20_popularity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents and clean ones of the same source and like length, one to one."""
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    found = popularity_matches(rows.select("source", F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("positive"), F.col("n_chars").alias("count")), "source", 0.5)
+    return found.withColumn("gap", F.round("gap", 9))
+
+
+def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled and bad documents of each source, beside those of all sources."""
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    each = rows.groupBy("source").agg(F.count("*").alias("drawn"), F.sum((F.col("quality") == 0).cast("long")).alias("k"))
+    return each.crossJoin(F.broadcast(each.agg(F.sum("drawn").alias("total"), F.sum("k").alias("marked"))))  # one row
+
+
+def v5_enrichment_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_source(spark, sf_dir).select("source", "k", "drawn", F.round(statistics.hypergeometric_tail("k", "total", "marked", "drawn"), 6).alias("tail"))
+
+
+def v10_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.col("k") / F.col("drawn")
+    return _by_source(spark, sf_dir).select("source", "drawn", F.round(statistics.ranking_power(F.col("drawn"), share), 6).alias("power"), statistics.required_size(share).alias("needed"))
+
+
+def x18_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("text")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", intents.distress(q).alias("distress"), intents.advice(q).alias("advice"), intents.self_harm(q).alias("self_harm"), intents.blocked(q).alias("blocked"))
+
+
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as a stream, in complete mode, so that no window stays open."""
     _, path = stream.run_to_table(stream.hourly_counts(stream.read_events(spark, f"{sf_dir}/events.parquet")), "hourly", "complete")
@@ -70,12 +114,26 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-QUERIES = {f.__name__: f for f in (j1_similar_pairs, g7_components, g4_kmeans, g3_communities, d10_entities, d14_first_seen, t8_chunks, t12_admission, stream_hourly, stream_once, stream_rate_limit)}
+def _says(pattern: str, flag: str = "(?i)") -> str:
+    return "coalesce(regexp_matches(text, '" + flag + pattern.replace("'", "''") + "'), false)"
+
+
+QUERIES = {f.__name__: f for f in (j1_similar_pairs, g7_components, g4_kmeans, g3_communities, d10_entities, d14_first_seen, t8_chunks, t12_admission, f18_section_chunks, d11_fuzzy_titles, j20_popularity_matches, v5_enrichment_tail, v10_power, x18_intents, stream_hourly, stream_once, stream_rate_limit)}
 SQL = {
     "j1_similar_pairs": """
         WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label <> b.label),
         r AS (SELECT x, y, sim, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS rn FROM p WHERE sim >= 0.3)
         SELECT least(x, y) AS i, greatest(x, y) AS j, round(max(sim), 5) AS sim FROM r WHERE rn <= 10 GROUP BY least(x, y), greatest(x, y)""",
+    "v5_enrichment_tail": """
+        WITH e AS (SELECT source, count(*) AS drawn, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM documents JOIN labels USING (doc_id) GROUP BY source),
+        a AS (SELECT source, k, drawn, CAST(sum(drawn) OVER () AS BIGINT) AS total, CAST(sum(k) OVER () AS BIGINT) AS marked FROM e),
+        i AS (SELECT *, unnest(range(greatest(k, drawn + marked - total), least(marked, drawn) + 1)) AS i FROM a),
+        p AS (SELECT source, k, drawn, exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(total - marked + 1) - lgamma(drawn - i + 1) - lgamma(total - marked - drawn + i + 1)
+          - lgamma(total + 1) + lgamma(drawn + 1) + lgamma(total - drawn + 1)) AS p FROM i)
+        SELECT source, k, drawn, round(least(1, sum(p)), 6) AS tail FROM p GROUP BY source, k, drawn""",
+    "x18_intents": f"""
+        SELECT conv_id, turn, {_says(intents.DISTRESS_INTENT)} OR ({_says(intents.FIRST_PERSON)} AND {_says(intents.DISTRESS_WORDS)}) AS distress, {_says(intents.ADVICE)} AS advice,
+          {_says(intents.SELF_HARM)} AS self_harm, {_says(intents.SELF_HARM)} OR {_says(intents.SEXUAL)} OR {_says(intents.SLURS)} OR {_says(intents.PERSON_NAME, "")} AS blocked FROM conversations""",
     "stream_hourly": "SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_once": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }
