@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.plans import aggregates, dialect, findings, increments, listings, programs, relations, scalars, windows
+from papyrine.plans import aggregates, claims, dialect, findings, increments, listings, programs, relations, scalars, windows
 
 FLAGSHIP = "r1_recurring_limitations"
 
@@ -12,5 +12,6 @@ for _module in (listings, aggregates, windows, scalars, relations, findings, inc
     _queries, _sql = dialect.queries(_module.TEMPLATES)
     QUERIES |= _queries
     SQL |= _sql
-QUERIES |= programs.QUERIES
-SQL |= programs.SQL
+for _module in (programs, claims):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

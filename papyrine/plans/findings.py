@@ -1,4 +1,4 @@
-"""Scorers R1-R11, search I1-I17, validation V1-V18, coherence C1-C7 and classification K1-K8."""
+"""Scorers R1 and R10, search I1-I17, validation V1-V18, coherence C1-C7 and classification K1-K8."""
 
 _CLAIMS = lambda d: f"(SELECT vec_id, CAST(floor(vec_id / 5) AS BIGINT) AS paper, 2010 + vec_id % 12 AS yr, label, embedding FROM {d.t('embeddings')})"
 _TOKENS = lambda d, x: d.keep_if(d.all_of(f"lower({x})", "[a-z0-9]+"), "w", "length(w) > 2")
@@ -19,7 +19,7 @@ def _index(d) -> str:
 def _search(d) -> str:
     """Queries as normalised vectors, scores as sparse dot products, coverage of the known terms."""
     return f"""{_index(d)},
-        q0 AS (SELECT DISTINCT item_id, {d.explode(_TOKENS(d, "left(text, 80)"))} AS term FROM {d.t("benchmark")} WHERE item_id < 20),
+        q0 AS (SELECT DISTINCT item_id, {d.explode(_TOKENS(d, "text"))} AS term FROM {d.t("benchmark")}),
         top_idf AS (SELECT max(idf) AS max_idf FROM idf),
         q1 AS (SELECT item_id, q0.term, idf FROM q0 LEFT JOIN idf ON idf.term = q0.term),
         coverage AS (SELECT item_id, sum(coalesce(idf, 0)) / (sum(coalesce(idf, 0)) + 3.5e0 * max(max_idf) * sum(CASE WHEN idf IS NULL THEN 1 ELSE 0 END)) AS coverage FROM q1 CROSS JOIN top_idf GROUP BY item_id),
@@ -40,27 +40,6 @@ TEMPLATES = {
           round(greatest(0e0, least(1e0, 0.30e0 + 0.08e0 * (n - 3) + 0.25e0 * full_share)), 6) AS confidence FROM a JOIN b ON b.category = a.category)
         SELECT category, n, methods, score, confidence, CASE WHEN confidence >= 0.60 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS tier,
           CAST(row_number() OVER (ORDER BY round(score * confidence, 6) DESC, category) AS BIGINT) AS place FROM s""",
-    # R2: contradicting pairs without a citation between their papers
-    "r2_contradictions": lambda d: f"""
-        WITH c AS {_CLAIMS(d)}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.paper AS pa, b.paper AS pb, {d.dot("a.embedding", "b.embedding")} AS sim FROM c a JOIN c b ON a.vec_id < b.vec_id AND a.paper <> b.paper AND a.label = b.label),
-        e AS (SELECT DISTINCT l_suppkey AS x, l_partkey % 97 AS y FROM {d.t("lineitem")})
-        SELECT a, b, round(0.5e0 * sim + 0.4e0 * CASE WHEN e.x IS NULL THEN 1 ELSE 0 END, 5) AS score, round(0.35e0 + 0.4e0 * sim, 5) AS confidence FROM p LEFT JOIN e ON e.x = pa AND e.y = pb WHERE sim >= 0.35""",
-    # One exclusion rule for each item, in their order; the score of what is shown
-    "r3_orphans": lambda d: f"""
-        WITH c AS {_CLAIMS(d)}, i AS (SELECT * FROM c WHERE vec_id % 10 = 0), m AS (SELECT max(yr) AS newest FROM c),
-        p AS (SELECT i.vec_id AS item, max(CASE WHEN c.vec_id IS NULL THEN -1e0 ELSE {d.dot("i.embedding", "c.embedding")} END) AS best, count(DISTINCT CASE WHEN {d.dot("i.embedding", "c.embedding")} >= 0.15 THEN c.paper END) AS near
-          FROM i LEFT JOIN c ON c.yr > i.yr AND c.paper <> i.paper GROUP BY i.vec_id)
-        SELECT p.item, near, newest - i.yr AS age, CASE WHEN best >= 0.35 THEN 'addressed' WHEN near < 5 THEN 'sparse' WHEN newest - i.yr < 2 THEN 'young' ELSE 'shown' END AS verdict,
-          round(0.6e0 * near / (near + 8e0) + 0.4e0 * least(1e0, (newest - i.yr) / 6e0), 6) AS score FROM p JOIN i ON i.vec_id = p.item CROSS JOIN m""",
-    # Methods of one group near claims of another over a weak bridge
-    "r4_method_transfer": lambda d: f"""
-        WITH c AS {_CLAIMS(d)}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS ga, b.label AS gb, {d.dot("a.embedding", "b.embedding")} AS sim FROM c a JOIN c b ON a.label < b.label WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 1),
-        best AS (SELECT ga, gb, a, b, sim, row_number() OVER (PARTITION BY ga, gb ORDER BY sim DESC, a, b) AS rn FROM p WHERE sim >= 0.25)
-        SELECT ga, gb, a, b, round(sim, 5) AS sim, CAST(row_number() OVER (ORDER BY round(sim, 5) DESC, a, b) AS BIGINT) AS place FROM best WHERE rn = 1""",
-    # A and C far apart, both near one B of another paper
-    "r5_disjoint_bridges": lambda d: f"""
-        WITH c AS (SELECT * FROM {_CLAIMS(d)} y WHERE vec_id < 150), s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.paper AS pa, b.paper AS pb, {d.dot("a.embedding", "b.embedding")} AS sim FROM c a JOIN c b ON a.paper <> b.paper)
-        SELECT x.a, x.b AS bridge, y.b AS c, round(least(x.sim, y.sim), 5) AS strength FROM s x JOIN s y ON y.a = x.b AND x.a < y.b AND x.pa <> y.pb JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.sim >= 0.22 AND y.sim >= 0.22 AND z.sim < 0.1""",
     # Cluster count from the size; violations of what a result must have
     "r10_validity_audit": lambda d: f"""
         SELECT source, count(*) AS n, CAST(greatest(2, round(sqrt(count(*)))) AS BIGINT) AS clusters, CAST(sum(CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_text, max(n_chars) < 300 AS weak FROM {d.t("documents")} GROUP BY source""",
@@ -86,10 +65,6 @@ TEMPLATES = {
     "x17_routing": lambda d: f"WITH {_search(d)} SELECT item_id, source, best FROM (SELECT item_id, source, max(score) AS best, row_number() OVER (PARTITION BY item_id ORDER BY max(score) DESC, source) AS rn FROM hits JOIN {d.t('documents')} x ON x.doc_id = hits.doc_id GROUP BY item_id, source) y WHERE rn <= 3",
     # Frozen at a year, the evidence after it
     "v1_freeze": lambda d: f"SELECT CAST(sum(CASE WHEN year(o_orderdate) <= 1998 THEN 1 ELSE 0 END) AS BIGINT) AS frozen, CAST(sum(CASE WHEN year(o_orderdate) > 1998 AND year(o_orderdate) <= 2000 THEN 1 ELSE 0 END) AS BIGINT) AS evidence, count(*) AS n FROM {d.t('orders')}",
-    # V3, V4: the 95th percentile of the best cosines of drawn claims, and what is new against it
-    "v3_threshold": lambda d: f"""
-        WITH c AS {_CLAIMS(d)}, b AS (SELECT a.vec_id, max({d.dot("a.embedding", "b.embedding")}) AS best FROM c a JOIN c b ON b.yr < a.yr AND a.paper <> b.paper WHERE a.vec_id % 5 = 0 GROUP BY a.vec_id)
-        SELECT round({d.percentile("best", "0.95")}, 5) AS tau, count(*) AS draws FROM b""",
     # V6: area under the curve with half ties, by ranks
     "v6_auc": lambda d: f"""
         WITH s AS (SELECT n_chars AS score, quality AS y FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id),
