@@ -42,7 +42,7 @@ def g3_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return resolve(docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), (2000 + F.col("doc_id") % 3).alias("year"), F.col("lang").alias("author"), F.col("n_chars").alias("quality")))
+    return resolve(docs.select(F.col("doc_id").alias("id"), F.regexp_extract("text", "^[^.\n]*", 0).alias("title"), (2000 + F.col("doc_id") % 3).alias("year"), F.col("lang").alias("author"), F.col("n_chars").alias("quality")))
 
 
 def d14_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
