@@ -65,11 +65,11 @@ TEMPLATES = {
     "x17_routing": lambda d: f"WITH {_search(d)} SELECT item_id, source, best FROM (SELECT item_id, source, max(score) AS best, row_number() OVER (PARTITION BY item_id ORDER BY max(score) DESC, source) AS rn FROM hits JOIN {d.t('documents')} x ON x.doc_id = hits.doc_id GROUP BY item_id, source) y WHERE rn <= 3",
     # Frozen at a year, the evidence after it
     "v1_freeze": lambda d: f"SELECT CAST(sum(CASE WHEN year(o_orderdate) <= 1998 THEN 1 ELSE 0 END) AS BIGINT) AS frozen, CAST(sum(CASE WHEN year(o_orderdate) > 1998 AND year(o_orderdate) <= 2000 THEN 1 ELSE 0 END) AS BIGINT) AS evidence, count(*) AS n FROM {d.t('orders')}",
-    # V6: area under the curve with half ties, by ranks
+    # V6: area under the curve with half ties; rows are counted by score before the running sum, which sees distinct scores only
     "v6_auc": lambda d: f"""
-        WITH s AS (SELECT n_chars AS score, quality AS y FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id),
-        r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS rk FROM s)
-        SELECT round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * CAST(sum(1 - y) AS DOUBLE)), 9) AS auc FROM r""",
+        WITH s AS (SELECT n_chars AS score, CAST(sum(quality) AS DOUBLE) AS pos, CAST(sum(1 - quality) AS DOUBLE) AS neg FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id GROUP BY n_chars),
+        r AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg / 2e0 AS below FROM s)
+        SELECT round(sum(pos * below) / (sum(pos) * sum(neg)), 9) AS auc FROM r""",
     # V7, V9: percentile intervals over draws that a digest makes
     "v7_bootstrap": lambda d: f"""
         WITH r AS (SELECT doc_id, quality, {d.explode(d.range(1, 40))} AS b FROM {d.t("labels")}), w AS (SELECT b, quality, substr({d.sha("concat(CAST(doc_id AS VARCHAR(20)), '|', CAST(b AS VARCHAR(5)))")}, 1, 1) AS h FROM r),
