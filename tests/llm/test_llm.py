@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from papyrine.llm import classifier, license, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+from papyrine.llm import classifier, license, packing, pieces, pii, quality, shingles, simhash, topk, toxicity, warc
 
 path = pytest.importorskip("public_tokenizers").path
 
@@ -292,3 +292,45 @@ def test_pipeline_stages(spark):
     clean = corpus_pipeline.personal_data(spark, unique, labels)
     assert clean.columns == docs.columns and "555-7710" not in " ".join(r["text"] for r in clean.collect())
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, clean, labels).collect()} == set(ids)
+
+
+def test_near_duplicate_stage_takes_similarity_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(6, 150))]
+        rows.append(" ".join(base))
+        for changes in (1, 2, 4):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), changes):
+                copy[at] = "other"
+            rows.append(" ".join(copy).upper())
+    rows += [None, "", "few words", "few  words", "x y"]
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [grams(t) for t in rows]
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = list(range(len(rows)))
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if same(sets[i], sets[j])) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    assert 30 < len(set(label)) < 90
+    docs = documents(spark, rows, extra=False).where("doc_id IS NOT NULL AND (doc_id <> 3 OR text <> 'a')")
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got) == sorted(set(label))
+    assert shingles.near_components(docs.limit(0)).count() == 0
+
+
+def test_near_text_tiles_link_across(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE_ROWS", 3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 120, 9)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["component_id"] for r in shingles.near_components(docs).collect()} == {0}
