@@ -2,7 +2,8 @@
 
 A word is the bag of its n-grams of 3, 5 and 7 bytes, hashed into a table of
 embeddings, so that an unseen misspelling shares most vectors with the word it
-comes from. A window of words is the mean of its words. As one insult in a long
+comes from. What has more than 64 characters without a space is cut at signs and
+into overlapping pieces, which are its words. A window of words is the mean of its words. As one insult in a long
 text is enough, a text counts by its most toxic window: each epoch takes every
 text's highest window so far as its example. After training, table and softmax
 fold into one number for each n-gram bucket, and a text costs one lookup a word.
@@ -10,6 +11,7 @@ fold into one number for each n-gram bucket, and a text costs one lookup a word.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,6 +26,10 @@ BUCKETS, DIM, EPOCHS, BATCH, RATE, DECAY, POSITIVE_WEIGHT = 1 << 18, 8, 8, 64, 0
 BAG_EPOCHS, BAG_WORDS, MIN_TEXTS = 3, 150, 4
 LAST_BUCKET = BUCKETS - 1
 GRAMS = (3, 5, 7)
+#: Words of more characters are cut at signs that join words, and what is still longer into pieces of PIECE characters that begin every PIECE_STEP.
+LONGEST, PIECE, PIECE_STEP = 64, 16, 8
+JOINTS = re.compile(r"[_\-/\\,;:|+=~<>()\[\]{}、。，．！？；：…·「」『』（）]+")
+ENDS = ".,;:!?\"'()[]*#$%&|"
 #: The training sample: so many labelled texts at most, none with more characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 65_536
 #: Words whose scores a worker remembers.
@@ -31,9 +37,27 @@ CACHE = 400_000
 TOXIC_AT = 0.7
 
 
+def text_words(text: str | None) -> list[str]:
+    """The words of a text in order, between them all of its characters but spaces and signs at which long words are cut."""
+    words = (text or "").split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out: list[str] = []
+    for word in words:
+        if len(word) <= LONGEST or len(word.strip(ENDS)) <= LONGEST:
+            out.append(word)
+            continue
+        for part in list(filter(None, JOINTS.split(word))) or [word]:
+            if len(part) <= LONGEST:
+                out.append(part)
+            else:
+                out += [part[i : i + PIECE] for i in range(0, len(part) - PIECE + PIECE_STEP, PIECE_STEP)]
+    return out
+
+
 def gram_buckets(word: str) -> list[int]:
     """The buckets of a word's n-grams of UTF-8 bytes, in lower case and with its ends marked."""
-    marked = b"<" + word.strip(".,;:!?\"'()[]*#$%&|").lower()[:64].encode("utf-8", "replace") + b">"
+    marked = b"<" + word.strip(ENDS).lower().encode("utf-8", "replace") + b">"
     size, crc = len(marked), zlib.crc32
     return [crc(marked[i : i + n]) & LAST_BUCKET for n in GRAMS for i in range(max(1, size - n + 1))]
 
@@ -70,7 +94,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict:
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").split()], np.int32) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text_words(t)], np.int32) for t in texts]
     buckets, counts = array("i"), array("i")
     for w in vocabulary:
         own = gram_buckets(w)
@@ -178,7 +202,7 @@ class Scorer:
         self.words = Words()
 
     def __call__(self, text: str | None) -> float:
-        words = (text or "").split()
+        words = text_words(text)
         mean = top_window(np.fromiter(map(self.words.__getitem__, words), np.float64, len(words)))[0] if words else self.lowest
         return 1 / (1 + float(np.exp(-np.clip(self.scale * mean + self.shift, -30, 30))))
 

@@ -334,3 +334,30 @@ def test_near_text_tiles_link_across(spark, monkeypatch):
     rows = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 120, 9)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["component_id"] for r in shingles.near_components(docs).collect()} == {0}
+
+
+def test_toxicity_reads_all_of_words_without_spaces():
+    rng = random.Random(3)
+    labels = [i % 4 == 0 for i in range(400)]
+    scorer = toxicity.Scorer(toxicity.train([synthetic(rng, x) for x in labels], [int(x) for x in labels]))
+    clean, toxic = (next(t for t in iter(lambda: synthetic(rng, kind), None) if (scorer(t) >= 0.7) == kind) for kind in (False, True))
+    tail = toxic.split()
+    for joint in ("_", "-", "、"):
+        joined = joint.join(clean.split()) + joint + joint.join(tail)
+        assert scorer(joint.join(clean.split())) < 0.7 <= scorer(joined)
+    phrases = ["静かな町の朝です", "川の水は冷たい", "本を読む人が多い", "山に雪が降った", "駅まで歩いて行く", "今日は天気がよい"]
+
+    def line(bad):
+        words = [rng.choice(phrases) for _ in range(40)]
+        if bad:
+            at = rng.randrange(12, 37)
+            words[at : at + 3] = ["馬鹿野郎め"] * 3
+        return "".join(words)
+
+    spaceless = toxicity.Scorer(toxicity.train([line(x) for x in labels], [int(x) for x in labels]))
+    assert sum((spaceless(line(x)) >= 0.7) == x for x in [True, False] * 40) >= 76
+    for text in ("x" * 65, "ab" * 500 + "end", "静かな町の朝です" * 9, "_" * 200, "." * 90 + "word"):
+        words = toxicity.text_words(text)
+        assert max(map(len, words)) <= 64 or words == [text]
+        assert words[0][:3] in text and words[-1].endswith(text[-3:])
+    assert toxicity.text_words("a " + "b" * 64) == ["a", "b" * 64]
