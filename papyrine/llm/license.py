@@ -1,10 +1,15 @@
 """Licence scans by sentence rules and ordered licence rules, with DataFrame functions only.
 
-A text is cut into sentences; each that may speak of licences is normalised
-and mapped to the identifier of the first sentence rule that it matches. The
+Wrapped lines are joined and a text is cut into sentences; each is normalised
+and, if it may speak of licences, mapped to the identifier of the first phrase
+that it has, or of all licences that it names, or of the first other rule. The
 text's sequence of identifiers is then matched against the licence rules in
 order, the more specific first; what a rule matches is taken out of the sequence.
 Sentences with a licence word that no rule knows get the identifier ``unknown``.
+
+The SQL has ``SENTENCE_RULES`` and ``LICENSE_RULES`` alone, one identifier a
+sentence and no joined lines: it knows no SPDX lines and fewer notices, and
+gives the same rows where a text has none of these.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from papyrine.llm.text import bind
 
-#: A text or sentence without any of these, in lower case, is not looked at.
+#: A sentence without any of these, in lower case, is not looked at.
 KEYWORDS = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission", "rights reserved", "public domain", "gpl", "creative commons", "required by applicable law", "in no event", "cc by", "cc0", "software is provided", "used to endorse")
 #: Java and RE2 read these patterns alike; they are matched in normalised sentences: lower case, words of a-z, 0-9 and +.
 SENTENCE_RULES = (
@@ -73,36 +78,97 @@ LICENSE_RULES = (
     ("CC0-1.0", "<cc0>"),
     ("Proprietary", "(<notice>)?<all-rights>"),
 )
+_RULE = dict(SENTENCE_RULES)
+#: Texts without any of these, in lower case, are not looked at: the words of KEYWORDS that no line wrap or hyphen cuts.
+TEXT_KEYWORDS = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission", "reserved", "domain", "gpl", "creative", "applicable", "no event", "cc0", "cc by", "cc-by", "cc\n", "cc\r", "provided", "endorse")
+#: Sentences of licence texts, the first that matches.
+PHRASES = (
+    *((name, _RULE[name]) for name in ("apache-comply", "apache-obtain", "apache-law", "apache-limits", "mit-grant", "mit-notice", "isc-grant", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is", "no-liability")),
+    ("gpl-more", "(see|received a copy of) the gnu (lesser |affero )?general public licen[cs]e (for more details|along with)"),
+)
+_SPDX = "spdx license identifier.* "
+_GPL = "general public licen[cs]e"
+_GNU = f"(?<!lesser |library |affero ){_GPL}"
+#: Licences that a sentence names: the first of each family. Version rules come before the one for any version.
+FAMILIES = (
+    (("apache2", f"{_RULE['apache2']}|{_SPDX}apache 2"),),
+    (("mit", f"{_RULE['mit']}|{_SPDX}mit( |$)"),),
+    (("bsd3", "bsd 3 clause|3 clause bsd"), ("bsd2", "bsd 2 clause|2 clause bsd")),
+    (("isc", f"(^| )isc licen[cs]e|{_SPDX}isc( |$)"),),
+    (("lgpl", f"(lesser|library) {_GPL}|(^| )lgpl"),),
+    (("agpl", f"affero {_GPL}|(^| )agpl"),),
+    (
+        ("gpl3", f"{_GNU}.* (version |v ?)3|{_GNU} 3|(^| )gpl ?(version |v ?)?3"),
+        ("gpl2", f"{_GNU}.* (version |v ?)2|{_GNU} 2|(^| )gpl ?(version |v ?)?2"),
+        ("gpl", f"{_GNU}|{_SPDX}gpl"),
+    ),
+    (("mpl2", f"mozilla public licen[cs]e|{_SPDX}mpl"),),
+    (*((name, _RULE[name]) for name in ("cc-by-nc-sa", "cc-by-nc-nd", "cc-by-nc", "cc-by-sa")), ("cc-by-nd", "cc by nd|attribution noderivatives"), ("cc-by", _RULE["cc-by"])),
+    (("cc0", _RULE["cc0"]),),
+)
+#: Families that a later version may follow, and how a sentence says so.
+VERSIONED = ("lgpl", "agpl", "gpl3", "gpl2", "gpl")
+LATER = "or (at your option )?(any )?later|gpl ?(version |v ?)?[0-9]( [0-9])?[+]"
+#: What a sentence without a phrase or a name may still be, the first that matches.
+OTHERS = tuple((name, _RULE[name]) for name in ("any-later", "all-rights", "notice", "unknown"))
+#: Licence rules with whole notices: the heads of BSD texts, what follows the notice of the GPL, short names.
+_MORE = "(<gpl-more>)*"
+NOTICE_RULES = (
+    *(
+        (name, ("(<bsd3>)?" if name == "BSD-3-Clause" else "(<bsd2>)?") + "(<notice>)?(<all-rights>)?" + rule) if name.startswith("BSD") else (name, "(<isc>)?(<notice>)?" + rule) if name == "ISC" else (name, rule + _MORE if "GPL" in name else rule)
+        for name, rule in LICENSE_RULES[:-1]
+    ),
+    ("BSD-3-Clause", "<bsd3>"),
+    ("BSD-2-Clause", "<bsd2>"),
+    ("ISC", "<isc>"),
+    ("GPL", "<gpl-more>"),
+    ("CC-BY-ND", "<cc-by-nd>"),
+    LICENSE_RULES[-1],
+)
+_LINE = r"[ \t]*\r?\n[ \t]*(?:(?:[*#;]+|//+|--)[ \t]+)?"
+#: Ends of lines inside a sentence: the next line goes on in lower case, or this one ends with a comma or a word that needs another.
+WRAP = rf"(?<=[A-Za-z0-9,)\"'/]){_LINE}(?=[a-z(])|(?<=,){_LINE}(?=\S)|(?<=\b(?i:the|of|under|or|and|gnu|to|by|in|with|version|general|public|lesser|affero|mozilla|creative)){_LINE}(?=\S)"
+SPDX_COLON = r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*"
 SENTENCE_END = r"[.;:!?]+[ \t\r\n]+|[.;:!?]+$|[\r\n]+"
 
 
-def _maybe(lowered: Column) -> Column:
-    found = lowered.contains(KEYWORDS[0])
-    for k in KEYWORDS[1:]:
+def _maybe(lowered: Column, keywords: tuple[str, ...] = KEYWORDS) -> Column:
+    found = lowered.contains(keywords[0])
+    for k in keywords[1:]:
         found = found | lowered.contains(k)
     return found
 
 
+def _first(sentence: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(rules):
+        found = F.when(sentence.rlike(pattern), name).otherwise(found)
+    return found
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's licence sentences, in order."""
 
+    def later(name: Column, sentence: Column) -> Column:
+        return F.when(name.isin(*VERSIONED) & sentence.rlike(LATER), "any-later")
+
     def identify(sentence: Column) -> Column:
-        found = None
-        for name, pattern in SENTENCE_RULES:
-            found = F.when(sentence.rlike(pattern), name) if found is None else found.when(sentence.rlike(pattern), name)
-        return found
+        names = [_first(sentence, family) for family in FAMILIES]
+        named = F.array_compact(F.array(*(x for n, f in zip(names, FAMILIES) for x in ((n, later(n, sentence)) if f[0][0] in VERSIONED else (n,)))))
+        one = F.array(F.coalesce(_first(sentence, PHRASES), F.when(F.size(named) == 0, _first(sentence, OTHERS))))
+        return F.when(F.get(one, 0).isNotNull(), one).otherwise(named)
 
-    def body(lowered: Column) -> Column:
-        sentences = F.filter(F.split(lowered, SENTENCE_END, -1), _maybe)
-        plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+]+", " ")))
-        return F.filter(F.transform(plain, identify), lambda x: x.isNotNull())
+    def body(raw: Column) -> Column:
+        lowered = F.lower(F.regexp_replace(F.regexp_replace(raw, SPDX_COLON, "$1 "), WRAP, " "))
+        plain = F.transform(F.split(lowered, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+]+", " ")))
+        return F.flatten(F.transform(F.filter(plain, lambda s: _maybe(s)), identify))
 
-    return F.when(_maybe(F.lower(text)), bind(F.lower(text), body)).otherwise(F.array().cast("array<string>"))
+    return F.when(bind(F.lower(text), lambda x: _maybe(x, TEXT_KEYWORDS)), bind(text, body)).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column) -> Column:
     """Struct ``rest, licenses``: what the licence rules leave of a sequence, and the licences found, in the rules' order."""
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in LICENSE_RULES))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in NOTICE_RULES))
     start = F.struct(F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("rest"), F.array().cast("array<string>").alias("licenses"))
 
     def step(s: Column, rule: Column) -> Column:

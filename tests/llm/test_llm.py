@@ -361,3 +361,81 @@ def test_toxicity_reads_all_of_words_without_spaces():
         assert max(map(len, words)) <= 64 or words == [text]
         assert words[0][:3] in text and words[-1].endswith(text[-3:])
     assert toxicity.text_words("a " + "b" * 64) == ["a", "b" * 64]
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD_TEXT = """Copyright (c) 2019, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER BE LIABLE."""
+GPL_TEXT = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program."""
+NOTICES = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0",
+    "// SPDX-License-Identifier: MPL-2.0\nint x;": "MPL-2.0",
+    "# SPDX-License-Identifier: LGPL-2.1-only": "LGPL",
+    "# SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL",
+    "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+    "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+    "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0 MIT",
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA",
+    "The text is available under CC-BY-SA 4.0": "CC-BY-SA",
+    "Available under the\nCreative Commons Attribution-NonCommercial 4.0 licence.": "CC-BY-NC",
+    "Distributed under the GNU Affero\nGeneral Public License.": "AGPL",
+    "Licensed under LGPL v2.1.": "LGPL",
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.": "Apache-2.0",
+    MIT_TEXT: "MIT",
+    BSD_TEXT: "BSD-3-Clause",
+    GPL_TEXT: "GPL-3.0-or-later",
+    GPL_TEXT.replace(" * ", "# ").replace(" *", "#"): "GPL-3.0-or-later",
+    GPL_TEXT.replace("version 3", "version 2"): "GPL-2.0-or-later",
+    " ".join(GPL_TEXT.replace("*", " ").split()): "GPL-3.0-or-later",
+    "All rights reserved\nReleased under the MIT License\nLicensed under CC BY-NC 4.0": "MIT CC-BY-NC Proprietary",
+}
+
+
+def test_license_notices_as_written(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license.scan(docs).collect()}
+    assert {t: got[i]["licenses"] for i, t in enumerate(NOTICES)} == NOTICES
+    assert all(r["n_unmatched"] == 0 for r in got.values())
