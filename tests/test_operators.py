@@ -83,3 +83,12 @@ def test_resolve_year_window_and_chain(spark):
     assert {r["id"]: r["entity"] for r in resolve(df.repartition(7)).collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
 
 
+
+
+def test_g7_links_through_all_lines_of_an_order(spark, tmp_path):
+    from papyrine.plans import programs
+
+    lines = [(1, 10, 1, 50.0), (1, 11, 2, 3.0), (2, 11, 1, 50.0), (2, 12, 2, 1.0), (3, 13, 1, 50.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["node"]: r["component"] for r in programs.g7_components(spark, str(tmp_path)).collect()}
+    assert got == {1: -12, 2: -12, -10: -12, -11: -12, -12: -12, 3: -13, -13: -13}
