@@ -4,6 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Longer keys are not remembered.
+LONGEST_KEY = 64
+
+
+class Recent(dict):
+    """What a function makes of strings, remembered for the last two generations of ``size`` strings."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 #: The white space that separates words, for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
