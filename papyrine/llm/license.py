@@ -5,22 +5,21 @@ and, if it may speak of licences, mapped to the identifier of the first phrase
 that it has, or of all licences that it names, or of the first other rule. The
 text's sequence of identifiers is then matched against the licence rules in
 order, the more specific first; what a rule matches is taken out of the sequence.
-Sentences with a licence word that no rule knows get the identifier ``unknown``.
-
-The SQL has ``SENTENCE_RULES`` and ``LICENSE_RULES`` alone, one identifier a
-sentence and no joined lines: it knows no SPDX lines and fewer notices, and
-gives the same rows where a text has none of these.
+Sentences with a licence word that no rule knows get the identifier ``unknown``;
+rules pass over them.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from papyrine.llm.text import bind
 
 #: A sentence without any of these, in lower case, is not looked at.
 KEYWORDS = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission", "rights reserved", "public domain", "gpl", "creative commons", "required by applicable law", "in no event", "cc by", "cc0", "software is provided", "used to endorse")
-#: Java and RE2 read these patterns alike; they are matched in normalised sentences: lower case, words of a-z, 0-9 and +.
+#: Java and RE2 read all patterns here alike; these are matched in normalised sentences: lower case, words of a-z, 0-9 and +.
 SENTENCE_RULES = (
     ("apache-comply", "you may not use this file except in compliance with the license"),
     ("apache-obtain", "you may obtain a copy of the license at"),
@@ -88,7 +87,8 @@ PHRASES = (
 )
 _SPDX = "spdx license identifier.* "
 _GPL = "general public licen[cs]e"
-_GNU = f"(?<!lesser |library |affero ){_GPL}"
+#: What the rules of the plain GPL do not look at.
+OTHER_GPL = f"(lesser|library|affero) {_GPL}"
 #: Licences that a sentence names: the first of each family. Version rules come before the one for any version.
 FAMILIES = (
     (("apache2", f"{_RULE['apache2']}|{_SPDX}apache 2"),),
@@ -98,14 +98,15 @@ FAMILIES = (
     (("lgpl", f"(lesser|library) {_GPL}|(^| )lgpl"),),
     (("agpl", f"affero {_GPL}|(^| )agpl"),),
     (
-        ("gpl3", f"{_GNU}.* (version |v ?)3|{_GNU} 3|(^| )gpl ?(version |v ?)?3"),
-        ("gpl2", f"{_GNU}.* (version |v ?)2|{_GNU} 2|(^| )gpl ?(version |v ?)?2"),
-        ("gpl", f"{_GNU}|{_SPDX}gpl"),
+        ("gpl3", f"{_GPL}.* (version |v ?)3|{_GPL} 3|version 3 of the gnu {_GPL}|(^| )gpl ?(version |v ?)?3"),
+        ("gpl2", f"{_GPL}.* (version |v ?)2|{_GPL} 2|version 2 of the gnu {_GPL}|(^| )gpl ?(version |v ?)?2"),
+        ("gpl", f"{_GPL}|{_SPDX}gpl"),
     ),
     (("mpl2", f"mozilla public licen[cs]e|{_SPDX}mpl"),),
     (*((name, _RULE[name]) for name in ("cc-by-nc-sa", "cc-by-nc-nd", "cc-by-nc", "cc-by-sa")), ("cc-by-nd", "cc by nd|attribution noderivatives"), ("cc-by", _RULE["cc-by"])),
     (("cc0", _RULE["cc0"]),),
 )
+GPL_FAMILY = FAMILIES[6]
 #: Families that a later version may follow, and how a sentence says so.
 VERSIONED = ("lgpl", "agpl", "gpl3", "gpl2", "gpl")
 LATER = "or (at your option )?(any )?later|gpl ?(version |v ?)?[0-9]( [0-9])?[+]"
@@ -126,12 +127,32 @@ NOTICE_RULES = (
     LICENSE_RULES[-1],
 )
 _LINE = r"[ \t]*\r?\n[ \t]*(?:(?:[*#;]+|//+|--)[ \t]+)?"
-#: Ends of lines inside a sentence: the next line goes on in lower case, or this one ends with a comma or a word that needs another.
-WRAP = rf"(?<=[A-Za-z0-9,)\"'/]){_LINE}(?=[a-z(])|(?<=,){_LINE}(?=\S)|(?<=\b(?i:the|of|under|or|and|gnu|to|by|in|with|version|general|public|lesser|affero|mozilla|creative)){_LINE}(?=\S)"
+_GOES_ON = "(?i:the|of|under|or|and|gnu|to|by|in|with|version|general|public|lesser|affero|mozilla|creative|apache|mit|bsd|isc)"
+_ANY = r"[^\x20\x09-\x0D]"
+#: Ends of lines inside a sentence, between what goes before and after them: the next line goes on in lower case, or this one
+#: ends with a comma or a word that needs another, or is as long as wrapped prose and ends without a mark.
+WRAPS = (
+    rf"([A-Za-z0-9,)\"'/]){_LINE}([a-z(])",
+    rf"(,){_LINE}({_ANY})",
+    rf"(^{_GOES_ON}|[^A-Za-z0-9_]{_GOES_ON}){_LINE}({_ANY})",
+    rf"([^\r\n]{{48}}[A-Za-z0-9)\"']){_LINE}([A-Za-z\"'(])",
+)
 SPDX_COLON = r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*"
 SENTENCE_END = r"[.;:!?]+[ \t\r\n]+|[.;:!?]+$|[\r\n]+"
 
 
+def passing_over(rule: str) -> str:
+    """A licence rule that passes over unknown sentences between its own, not before or after them."""
+    over, out, begun = "(<unknown>)*", [], False
+    for optional, often, needed in re.findall(r"\((<[^>]+>)\)([?*])|(<[^>]+>)", rule):
+        if needed:
+            out.append(over + needed if begun else needed)
+            begun = True
+        else:
+            out.append(f"({over}{optional}){often}" if begun else f"({optional}{over}){often}")
+    return "".join(out)
+
+
 def _maybe(lowered: Column, keywords: tuple[str, ...] = KEYWORDS) -> Column:
     found = lowered.contains(keywords[0])
     for k in keywords[1:]:
@@ -153,13 +174,16 @@ def sentence_ids(text: Column) -> Column:
         return F.when(name.isin(*VERSIONED) & sentence.rlike(LATER), "any-later")
 
     def identify(sentence: Column) -> Column:
-        names = [_first(sentence, family) for family in FAMILIES]
+        names = [_first(sentence if family is not GPL_FAMILY else F.regexp_replace(sentence, OTHER_GPL, ""), family) for family in FAMILIES]
         named = F.array_compact(F.array(*(x for n, f in zip(names, FAMILIES) for x in ((n, later(n, sentence)) if f[0][0] in VERSIONED else (n,)))))
         one = F.array(F.coalesce(_first(sentence, PHRASES), F.when(F.size(named) == 0, _first(sentence, OTHERS))))
         return F.when(F.get(one, 0).isNotNull(), one).otherwise(named)
 
     def body(raw: Column) -> Column:
-        lowered = F.lower(F.regexp_replace(F.regexp_replace(raw, SPDX_COLON, "$1 "), WRAP, " "))
+        joined = F.regexp_replace(raw, SPDX_COLON, "$1 ")
+        for pattern in WRAPS:  # twice, as a line of one character ends one match and begins the next
+            joined = F.regexp_replace(F.regexp_replace(joined, pattern, "$1 $2"), pattern, "$1 $2")
+        lowered = F.lower(joined)
         plain = F.transform(F.split(lowered, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+]+", " ")))
         return F.flatten(F.transform(F.filter(plain, lambda s: _maybe(s)), identify))
 
@@ -168,7 +192,7 @@ def sentence_ids(text: Column) -> Column:
 
 def match_rules(ids: Column) -> Column:
     """Struct ``rest, licenses``: what the licence rules leave of a sequence, and the licences found, in the rules' order."""
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in NOTICE_RULES))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(passing_over(p)).alias("pattern")) for n, p in NOTICE_RULES))
     start = F.struct(F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("rest"), F.array().cast("array<string>").alias("licenses"))
 
     def step(s: Column, rule: Column) -> Column:
@@ -186,8 +210,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``sentence_ids`` and ``licenses`` are joined by spaces and are empty where
     there are none; ``n_unmatched`` counts the sentences that no licence rule
-    took. Null and empty texts have none; repeated rows come back as often; an
-    empty table gives an empty table.
+    took. Null and empty texts have none; texts of any length are read whole; repeated rows come back as often; other
+    columns of ``docs`` play no part; an empty table gives an empty table.
     """
     df = docs.select("doc_id", sentence_ids(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
     df = df.select("doc_id", "ids", match_rules(F.col("ids")).alias("m"))
@@ -203,17 +227,32 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def scan_sql() -> str:
     """The same as DuckDB SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    maybe = lambda x: "(" + " OR ".join(f"contains({x}, {quote(k)})" for k in KEYWORDS) + ")"
-    cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCE_RULES)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    has = lambda x, p: f"regexp_matches({x}, {quote(p)})"
+    swap = lambda x, p, by: f"regexp_replace({x}, {quote(p)}, {quote(by)}, 'g')"
+    maybe = lambda x, keywords: "(" + " OR ".join(f"contains({x}, {quote(k)})" for k in keywords) + ")"
+    first = lambda x, rules: "CASE " + " ".join(f"WHEN {has(x, p)} THEN {quote(n)}" for n, p in rules) + " END"
+    joined = swap("text", SPDX_COLON, "\\1 ")
+    for pattern in WRAPS:
+        joined = swap(swap(joined, pattern, "\\1 \\2"), pattern, "\\1 \\2")
+    names = []
+    for family in FAMILIES:
+        name = first(swap("s", OTHER_GPL, "") if family is GPL_FAMILY else "s", family)
+        names.append(name)
+        if family[0][0] in VERSIONED:
+            names.append(f"CASE WHEN {name} IN ({', '.join(map(quote, VERSIONED))}) AND {has('s', LATER)} THEN 'any-later' END")
     steps = "SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM identified"
-    for name, pattern in LICENSE_RULES:
-        steps = f"SELECT doc_id, ids, regexp_replace(rest, {quote(pattern)}, '<>', 'g') AS rest, CASE WHEN regexp_matches(rest, {quote(pattern)}) AND NOT list_contains(found, {quote(name)}) THEN list_append(found, {quote(name)}) ELSE found END AS found FROM ({steps})"
+    for name, rule in NOTICE_RULES:
+        p = passing_over(rule)
+        steps = f"SELECT doc_id, ids, {swap('rest', p, '<>')} AS rest, CASE WHEN {has('rest', p)} AND NOT list_contains(found, {quote(name)}) THEN list_append(found, {quote(name)}) ELSE found END AS found FROM ({steps})"
     return f"""
-    WITH lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-    sentences AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(t, '[.;:!?]+[ \\t\\r\\n]+|[.;:!?]+$|[\\r\\n]+'), lambda x: {maybe("x")}), lambda x: trim(regexp_replace(x, '[^a-z0-9+]+', ' ', 'g'))) AS l FROM lowered WHERE {maybe("t")}
-      UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]) FROM lowered WHERE NOT {maybe("t")}),
-    identified AS (SELECT doc_id, list_filter(list_transform(l, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM sentences)
+    WITH joined AS (SELECT doc_id, CASE WHEN {maybe("lower(text)", TEXT_KEYWORDS)} THEN lower({joined}) END AS t FROM documents),
+    sentences AS (SELECT doc_id, row_number() OVER () AS row_id, list_filter(list_transform(regexp_split_to_array(t, {quote(SENTENCE_END)}), lambda x: trim(regexp_replace(x, '[^a-z0-9+]+', ' ', 'g'))), lambda x: {maybe("x", KEYWORDS)}) AS l FROM joined),
+    parts AS (SELECT row_id, s, place FROM (SELECT row_id, unnest(l) AS s, generate_subscripts(l, 1) AS place FROM sentences)),
+    named AS (SELECT row_id, place, s, list_filter([{", ".join(names)}], lambda x: x IS NOT NULL) AS own, {first("s", PHRASES)} AS phrase FROM parts),
+    one AS (SELECT row_id, place, CASE WHEN phrase IS NOT NULL THEN [phrase] WHEN len(own) > 0 THEN own ELSE list_filter([{first("s", OTHERS)}], lambda x: x IS NOT NULL) END AS own FROM named),
+    gathered AS (SELECT row_id, flatten(list(own ORDER BY place)) AS ids FROM one GROUP BY row_id),
+    identified AS (SELECT s.doc_id, coalesce(g.ids, CAST([] AS VARCHAR[])) AS ids FROM sentences s LEFT JOIN gathered g ON g.row_id = s.row_id)
     SELECT doc_id, coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(array_to_string(found, ' '), '') AS licenses,
       CAST(len(ids) AS BIGINT) AS n_sentences,
       CAST(length(replace(rest, '<>', '')) - length(replace(replace(rest, '<>', ''), '<', '')) AS BIGINT) AS n_unmatched
