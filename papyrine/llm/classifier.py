@@ -13,18 +13,20 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.llm import quality
+from papyrine.llm.text import Recent
 
 BUCKETS, EPOCHS, RATE, DECAY = 1 << 15, 60, 0.5, 1e-4
-#: The scorer's sample: so many texts at most, none with more characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 65_536
-#: Words whose features a worker remembers.
-CACHE = 300_000
+#: The scorer's sample: so many different texts at most, and so many characters in all of them but the last.
+SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 1 << 25
+#: Words of a generation whose features a worker remembers.
+CACHE = 250_000
 KEEP_AT = 0.5
 LABELLERS = ("plain", "symbols", "separators", "shouting", "exclaims", "few_words", "same_lines", "few_distinct", "same_triples")
 
@@ -63,7 +65,7 @@ def _bucket(feature: str) -> int:
 
 def word_buckets(word: str) -> tuple[int, int]:
     """The buckets of a word and of its shape."""
-    shape = _SHAPE.sub(lambda m: "9" if m[0][0].isdigit() else "A" if m[0].isupper() and len(m[0]) > 1 else "a", word[:40])
+    shape = _SHAPE.sub(lambda m: "9" if m[0][0].isdigit() else "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
     return _bucket("w:" + word.lower()), _bucket("s:" + shape)
 
 
@@ -101,14 +103,7 @@ class Scorer:
     """Scores texts with trained weights."""
 
     def __init__(self, weights: np.ndarray):
-        class Words(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = value = float(weights[list(word_buckets(word))].sum())
-                return value
-
-        self.weights, self.words = weights, Words()
+        self.weights, self.words = weights, Recent(lambda word: float(weights[list(word_buckets(word))].sum()), CACHE)
 
     def __call__(self, text: str | None, s: dict[str, float]) -> float:
         words = (text or "").split()
@@ -118,13 +113,43 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+@lru_cache(1)
+def scorer_of(weights: bytes) -> Scorer:
+    """The scorer of a worker process, whatever the number of its tasks."""
+    return Scorer(np.frombuffer(weights))
+
+
+def sample(own: DataFrame, total: int) -> list[str]:
+    """The texts that the scorer learns from: of the ``total`` rows ``doc_id, t`` those of smallest hash of both, each once.
+
+    They are bounded by ``SAMPLE_ROWS`` and ``SAMPLE_CHARS`` and come in the order of the hash, so that
+    the same rows give the same sample however they are dealt out. First only
+    hashes are looked at, and of those only the smallest, more of them if too
+    many are the same.
+    """
+    hashed = own.withColumn("h", F.xxhash64("doc_id", "t"))
+    share = min(1.0, 8 * SAMPLE_ROWS / max(1, total))
+    while True:
+        few = hashed.where(F.col("h") <= int(share * 2**64) - 2**63 - 1) if share < 1 else hashed
+        found = [r["h"] for r in few.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).collect()]
+        if len(found) == SAMPLE_ROWS or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    if not found:
+        return []
+    whole = hashed.where(F.col("h") <= found[-1]).groupBy("h").agg(F.min("t").alias("t"))  # SAMPLE_ROWS rows
+    before = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = whole.withColumn("before", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).where(F.col("before") <= SAMPLE_CHARS)
+    return [r["t"] for r in rows.orderBy("h").select("t").collect()]
+
+
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, votes, p_weak, score, kept`` for each row of ``docs``.
 
     ``votes`` has a sign for each labeller, ``p_weak`` is their posterior
     probability of a good text, ``score`` the scorer's, and ``kept`` says
-    whether that reaches 0.5. Null texts count as empty; repeated rows count and
-    come back as often; an empty table gives an empty table.
+    whether that reaches 0.5. Null texts count as empty; texts of any length are read whole; repeated rows count and
+    come back as often; other columns of ``docs`` play no part; an empty table gives an empty table.
     """
     own = docs.select("doc_id", F.col(text).alias("t"))
 
@@ -138,16 +163,13 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
 
     counted = own.select("t").mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # a row for each pattern
     model = quality.estimate([(tuple(r["votes"]), r["n"]) for r in counted], len(LABELLERS))
-    # The sample's hashes come first and alone, so that only the sample's texts reach the driver.
-    short = own.where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS).withColumn("h", F.xxhash64("doc_id"))
-    hashes = short.select("h").orderBy("h").limit(SAMPLE_ROWS).collect()
-    rows = short.where(F.col("h") <= hashes[-1]["h"]).select("t").limit(SAMPLE_ROWS).collect() if hashes else []
-    texts = [r["t"] for r in rows]
+    texts = sample(own, sum(r["n"] for r in counted))
     weights = train(texts, [quality.posterior(votes(statistics(t)), model["share"], model["prob"]) for t in texts])
     start, terms = quality.log_odds(model["share"], model["prob"])
+    packed = weights.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights)
+        scorer = scorer_of(packed)
         for batch in batches:
             signs, weak, scores = [], [], []
             for t in batch.column(1):
