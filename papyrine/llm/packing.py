@@ -16,19 +16,20 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from papyrine.llm.text import Recent
 from papyrine.shared import keep
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE = 500_000
-#: Moves of the local search at most. Without them the packing is only less tight.
-MOVES = 20_000
+#: Distinct pieces of text of a generation whose ids a worker remembers.
+CACHE = 300_000
 
 #: The Unicode characters that the pattern's white space stands for.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,16 +42,15 @@ class Ids:
     before, so that such pieces are encoded once and remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import json
         import re
 
         import tiktoken
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(data)
+        self.whole = Tokenizer.from_str(data.decode("utf-8"))
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -58,16 +58,7 @@ class Ids:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE:
-                    self.clear()
-                ids = np.array(encode(piece), "<u4").tobytes()
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
+        self.pieces = Recent(lambda piece: np.array(encode(piece), "<u4").tobytes(), CACHE)
         self.split = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 
     def __call__(self, text: str) -> bytes:
@@ -76,6 +67,12 @@ class Ids:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
+@lru_cache(1)
+def ids_of_worker(data: bytes) -> Ids:
+    """The encoder of a worker process, whatever the number of its tasks."""
+    return Ids(data)
+
+
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than the capacity if there are several."""
     if length <= capacity:
@@ -85,12 +82,16 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, part, rank``: rank counts the pieces of a length in a part."""
+    """``doc_id, piece, start, length, ids_crc32, part, rank``: rank counts the pieces of a length in a part.
+
+    The driver reads the tokenizer's file and ships its bytes.
+    """
+    data = Path(tokenizer).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, seen = Ids(tokenizer), Counter()
+        ids_of, seen = ids_of_worker(data), Counter()
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -149,45 +150,103 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return Counter({tuple(sorted(p, reverse=True)): n for p, n in Counter(done).items() if n})
 
 
-def local_search(patterns: Counter, capacity: int, moves: int = MOVES) -> Counter:
-    """Exchange or move pieces between underfull bins as long as the sum of squared fills grows.
+class _Underfull:
+    """The patterns of a local search that are not full, with what they can take in and give away.
+
+    A row for each pattern: ``takes_one[v]`` says that a piece of length v can
+    go into it for nothing, for one piece or for two, ``takes_two[v]`` that two
+    pieces of length v together can go in for one, each with a gain that its
+    space allows; ``has_one`` and ``has_two`` are the lengths of its pieces and
+    pairs of pieces. So only pairs of patterns that have an exchange are tried.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.row_of, self.free = capacity, {}, []
+        self.rows: list[tuple | None] = []
+        self.fill = np.full(0, -1, np.int64)
+        self.takes_one, self.takes_two, self.has_one, self.has_two = (np.zeros((0, capacity + 1), bool) for _ in range(4))
+
+    def add(self, p: tuple) -> int:
+        if not self.free:
+            more = max(64, len(self.rows))
+            self.free = list(range(len(self.rows) + more - 1, len(self.rows) - 1, -1))
+            self.rows += [None] * more
+            self.fill = np.r_[self.fill, np.full(more, -1)]
+            grown = (np.concatenate([x, np.zeros((more, self.capacity + 1), bool)]) for x in (self.takes_one, self.takes_two, self.has_one, self.has_two))
+            self.takes_one, self.takes_two, self.has_one, self.has_two = grown
+        i = self.free.pop()
+        self.row_of[p], self.rows[i], self.fill[i] = i, p, sum(p)
+        space, ones = self.capacity - sum(p), sorted(set(p))
+        pairs = {x + y for k, x in enumerate(ones) for y in ones[k:] if x != y or p.count(x) > 1}
+        for row in (self.takes_one[i], self.takes_two[i], self.has_one[i], self.has_two[i]):
+            row[:] = False
+        for x in (0, *ones, *pairs):
+            self.takes_one[i, x + 1 : x + space + 1] = True
+        for x in ones:
+            self.takes_two[i, x + 1 : x + space + 1] = True
+        self.has_one[i, ones] = True
+        self.has_two[i, list(pairs)] = True
+        return i
+
+    def remove(self, p: tuple) -> None:
+        i = self.row_of.pop(p)
+        self.rows[i], self.fill[i] = None, -1
+        for row in (self.takes_one[i], self.takes_two[i], self.has_one[i], self.has_two[i]):
+            row[:] = False
+        self.free.append(i)
+
+    def receivers(self, b: int) -> np.ndarray:
+        """Rows of the patterns, at least as full as that of row b, that have an exchange with it; the fullest first."""
+        able = self.takes_one[:, self.has_one[b]].any(axis=1) | self.takes_two[:, self.has_two[b]].any(axis=1)
+        found = np.flatnonzero(able & (self.fill >= self.fill[b]))
+        return found[np.argsort(-self.fill[found], kind="stable")]
+
+
+def local_search(patterns: Counter, capacity: int) -> Counter:
+    """Exchange or move pieces between underfull bins until no change lets the sum of squared fills grow.
 
     Between a fuller bin a and an emptier bin b: a piece of b goes to a; or it
     goes there for a shorter piece of a; or for two pieces of a that are shorter
     together; or two pieces of b go for one shorter piece of a. Any of these
-    shifts fill from b to a. Patterns stand for all their bins at once.
+    shifts fill from b to a; the emptiest bins are drained first, into the
+    fullest. Patterns stand for all their bins at once. The search ends of
+    itself, as the sum of squares only grows.
     """
-    patterns = Counter(patterns)
-    stuck: set[tuple] = set()
-    while moves > 0:
-        under = sorted((p for p, n in patterns.items() if n and sum(p) < capacity), key=sum)
-        if len(under) + (len(under) == 1 and patterns[under[0]] > 1) < 2:
-            break
-        change = None
-        for b in under:  # the emptiest bins are drained first
-            for a in reversed(under):
-                if (a, b) in stuck or sum(a) < sum(b) or (a == b and patterns[a] < 2):
-                    continue
-                change = _exchange(a, b, capacity - sum(a))
-                moves -= 1
-                if change:
-                    n = patterns[a] // 2 if a == b else min(patterns[a], patterns[b])
-                    for p, d in ((a, -n), (b, -n), (change[0], n), (change[1], n)):
-                        patterns[p] += d
-                        if not patterns[p]:
-                            del patterns[p]
+    first, patterns = patterns, Counter()
+    under = _Underfull(capacity)
+
+    def change(p: tuple, d: int) -> None:
+        """``d`` bins more of a pattern."""
+        before, now = patterns[p], patterns[p] + d
+        patterns[p] = now
+        if not now:
+            del patterns[p]
+        if p and sum(p) < capacity and bool(before) != bool(now):
+            under.add(p) if now else under.remove(p)
+
+    for p, n in first.items():
+        if n:
+            change(p, n)
+    again = True
+    while again:
+        again = False
+        for b in sorted(under.row_of, key=lambda p: (sum(p), p)):
+            while patterns[b]:
+                found = (under.rows[i] for i in under.receivers(under.row_of[b]).tolist())
+                a = next((a for a in found if a != b or patterns[a] > 1), None)
+                if a is None:
                     break
-                stuck.add((a, b))
-            if change or moves <= 0:
-                break
-        if not change:
-            break
-    patterns.pop((), None)
+                fuller, emptier = _exchange(a, b, capacity - sum(a))
+                n = patterns[a] // 2 if a == b else min(patterns[a], patterns[b])
+                for p, d in ((a, -n), (b, -n), (fuller, n), (emptier, n)):
+                    change(p, d)
+                again = True
+    del patterns[()]
     return patterns
 
 
 def _exchange(a: tuple, b: tuple, space: int) -> tuple[tuple, tuple] | None:
-    """The contents of a and b after the change that fills a most, or None."""
+    """The contents of a and b after the change that fills a most, or None if there is no change."""
     own_a, own_b = sorted(set(a)), sorted(set(b))
     out_of_a = [((), 0)] + [((x,), x) for x in own_a] + [((x, y), x + y) for i, x in enumerate(own_a) for y in own_a[i:] if x != y or a.count(x) > 1]
     best = None
@@ -238,7 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
 
     Null texts count as empty and give the end id alone; rows without doc_id
     and repeated rows are packed like any other; an empty table gives an empty
-    table. Only the histogram of lengths, ``capacity`` rows, reaches the driver.
+    table; other columns of ``docs`` play no part. Only the histogram of lengths, ``capacity`` rows, reaches the driver.
     """
     cut_up = keep(pieces(docs, tokenizer, text, capacity), "pieces")
     counts = keep(cut_up.groupBy("part", "length").count(), "lengths")
@@ -246,7 +305,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
     places = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cut_up.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    # A row for each part and length: not for a broadcast, as the parts grow with the documents.
+    ranked = cut_up.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks = places["length"], places["rank"]
