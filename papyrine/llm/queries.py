@@ -51,11 +51,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text under pseudonyms, with the number of replacements of each kind."""
-    made = _read(spark, sf_dir, "documents").select("doc_id", pii.pseudonymise(F.col("text")).alias("p"))
-    kinds = ("card", "phone", "ipv4", "ssn", "date", "email", "token")
+    """Every text under pseudonyms of the session's key, with the number of replacements of each kind."""
+    made = _read(spark, sf_dir, "documents").select("doc_id", pii.pseudonymise(F.col("text"), pii.session_key(spark)).alias("p"))
     count = lambda kind: F.size(F.filter("p.kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(kind) for kind in kinds]
+    counts = [count(kind) for kind in pii.KINDS]
     return made.select("doc_id", F.col("p.text").alias("text"), *counts)
 
 
