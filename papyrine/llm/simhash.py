@@ -6,7 +6,7 @@ distance of that half, a metric, therefore needs radius 1 only: a node splits
 its points by their distance to a vantage point at the median, and by the
 triangle inequality only points on the boundary (distance equal to the median)
 can be near to a point beyond it. Those go to both sides. The upper levels of
-the trees are built from a bounded sample and deal the fingerprints out to
+the trees are built from a sample that grows with the rows and deal the fingerprints out to
 shards; in its shard a task goes on with the same splits and compares the
 points of each small leaf by all 64 bits.
 """
@@ -23,8 +23,12 @@ from papyrine.operators.components import connected_components
 from papyrine.shared import drop, keep
 
 RADIUS = 3
-#: Rows of the sample from which the upper levels are built, rows aimed at in a shard, rows of a leaf.
-SAMPLE_ROWS, SHARD_ROWS, LEAF_ROWS = 16_384, 2_048, 256
+#: Rows aimed at in a shard, rows of a leaf, and sampled rows for each shard, from which the upper levels are built.
+SHARD_ROWS, LEAF_ROWS, SAMPLE_OF_SHARD = 2_048, 256, 8
+#: Levels of the upper trees at most: the driver then has a sample of 32 MB, and shards grow beyond 10 ** 9 different fingerprints.
+MOST_LEVELS = 19
+#: Rows of a fingerprint from which its component is sent to the rows instead of the rows to it: so many, or this share of all.
+HOT_ROWS, HOT_SHARE = 100_000, 1e-5
 SEED = 42
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 ALL_BITS = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,36 +81,36 @@ def _split(values: np.ndarray, mask: np.uint64, rng: np.random.Generator) -> tup
     return found
 
 
-def shard_tree(sample: np.ndarray, half: int, depth: int) -> list[tuple[int, int] | None]:
-    """A heap of (vantage, cut): the children of node i are 2i+1 (d <= cut) and 2i+2 (d >= cut)."""
+def shard_tree(sample: np.ndarray, half: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and cuts of a heap: the children of node i are 2i+1 (d <= cut) and 2i+2 (d >= cut); a cut of -1 has none."""
     rng = np.random.default_rng(SEED + half)
-    heap: list[tuple[int, int] | None] = [None] * (2**depth - 1)
+    vantage, cut = np.zeros(2**depth - 1, np.uint64), np.full(2**depth - 1, -1, np.int8)
     parts = {0: sample}
-    for i in range(len(heap)):
+    for i in range(len(cut)):
         values = parts.pop(i, None)
         if values is None or len(values) < 8 or not (found := _split(values, HALVES[half], rng)):
             continue
-        heap[i] = (int(found[0]), found[1])
+        vantage[i], cut[i] = found
         d = np.bitwise_count((values ^ found[0]) & HALVES[half])
         parts[2 * i + 1], parts[2 * i + 2] = values[d <= found[1]], values[d > found[1]]
-    return heap
-
-
-def deal(values: np.ndarray, heap: list, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the value and shard, for each shard that the value belongs to or whose boundary it touches."""
-    todo, rows, shards = [(0, np.arange(len(values)))], [], []
-    while todo:
-        i, at = todo.pop()
-        if not len(at):
-            continue
-        if i >= len(heap) or heap[i] is None:
-            rows.append(at)
-            shards.append(np.full(len(at), i, np.int64))
-            continue
-        vantage, cut = heap[i]
-        d = np.bitwise_count((values[at] ^ np.uint64(vantage)) & HALVES[half])
-        todo += [(2 * i + 1, at[d <= cut]), (2 * i + 2, at[d >= cut])]
-    return (np.concatenate(rows), np.concatenate(shards)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return vantage, cut
+
+
+def deal(values: np.ndarray, tree: tuple[np.ndarray, np.ndarray], half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the value and shard, for each shard that the value belongs to or whose boundary it touches; a level at once."""
+    vantage, cut = tree
+    at, node = np.arange(len(values)), np.zeros(len(values), np.int64)
+    rows, shards = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at):
+        inner = node < len(cut)
+        inner[inner] = cut[node[inner]] >= 0
+        rows.append(at[~inner])
+        shards.append(node[~inner])
+        at, node = at[inner], node[inner]
+        d, c = np.bitwise_count((values[at] ^ vantage[node]) & HALVES[half]), cut[node]
+        near, far = d <= c, d >= c
+        at, node = np.concatenate([at[near], at[far]]), np.concatenate([2 * node[near] + 1, 2 * node[far] + 2])
+    return np.concatenate(rows), np.concatenate(shards)
 
 
 def _joined(a: np.ndarray) -> np.ndarray:
@@ -163,15 +167,18 @@ def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """
     values = distinct.select(F.col(fp).alias("fp")).where("fp IS NOT NULL")
     rows = values.count()
-    sample = np.array([r.fp for r in values.orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect()], np.int64).view(np.uint64)
-    depth = min(int(np.ceil(np.log2(max(1, rows / SHARD_ROWS)))), int(np.log2(SAMPLE_ROWS)) - 3)
-    heaps = [shard_tree(sample, half, depth) for half in (0, 1)]
+    depth = min(max(0, int(np.ceil(np.log2(max(1, rows / SHARD_ROWS))))), MOST_LEVELS)
+    # About SAMPLE_OF_SHARD fingerprints for each shard, those of smallest hash, whatever the order of the rows.
+    share = min(1.0, (SAMPLE_OF_SHARD << depth) / max(1, rows)) if depth else 0.0
+    few = values.where(F.xxhash64("fp") < int((share - 0.5) * 2**64)) if share < 1 else values
+    sample = np.sort(few.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64) if depth else np.zeros(0, np.uint64)
+    trees = [shard_tree(sample, half, depth) for half in (0, 1)]
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for half in (0, 1):
-                at, shard = deal(own, heaps[half], half)
+                at, shard = deal(own, trees[half], half)
                 yield pa.RecordBatch.from_arrays([pa.array(shard * 2 + half), pa.array(own[at].view(np.int64))], names=["shard", "fp"])
 
     def in_shard(key: tuple, table: pa.Table) -> pa.Table:
@@ -193,13 +200,18 @@ def near_components(docs: DataFrame, text: str = "text", width: int = 3) -> Data
     """
     spark = docs.sparkSession
     own = keep(fingerprints(docs, text, width), "fingerprints")
-    distinct = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = keep(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     comps = connected_components(near_links(distinct)).select(F.col("node").alias("fp"), "component")
     named = distinct.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = keep(named.join(least, "component").select("fp", "component_id"), "component-of")
+    of_fp = keep(named.join(least, "component").select("fp", "component_id", "n"), "component-of")
+    # A fingerprint that many rows have would fill one task: its component goes to its rows. There are 1 / HOT_SHARE such at most.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     drop(spark, distinct)
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    hot = F.broadcast(of_fp.where(F.col("n") >= max(HOT_ROWS, HOT_SHARE * total)).select("fp", "component_id"))
+    many = own.join(hot, "fp")
+    few = own.join(hot, "fp", "left_anti").join(of_fp.select("fp", "component_id"), "fp")
+    return many.unionByName(few).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
