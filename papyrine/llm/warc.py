@@ -1,9 +1,11 @@
 """WARC archives with revisits, and their index by an external merge of sorted capture runs.
 
 Tasks write their records to archive files in the shared folder, one gzip
-member a record, and sort their captures by URL key and time into runs. The
-runs are merged by loser trees, each task taking one key range of all runs,
-which gives capture histories in global order. Reading back goes by the index:
+member a record, and sort their captures by URL key and time into runs. Loser
+trees merge a bounded number of runs at once: as long as there are more, groups
+of them become longer runs, and a last merge gives the capture histories in
+global order. A task takes one key range of its runs and opens only those files
+whose keys meet it. Reading back goes by the index:
 every record is fetched at its place and checked against its digest.
 """
 
@@ -12,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -25,8 +29,10 @@ from papyrine.shared import keep, new_path
 REVISIT_BYTES = 1000
 #: Bytes of an archive file after which a task begins the next one, and captures of a run.
 ARCHIVE_BYTES, RUN_ROWS = 1 << 30, 200_000
-#: Captures aimed at in one key range of the merge.
-RANGE_ROWS = 250_000
+#: Captures aimed at in one key range of a merge, runs that one merge takes, rows of a run's row group.
+RANGE_ROWS, FAN_IN, GROUP_ROWS = 250_000, 64, 1_024
+#: Captures for each key that a run gives to the choice of ranges.
+SAMPLE_STEP = 4_096
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,15 +96,58 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return record(headers, http + (payload if refers_to is None else b"")), when
 
 
+#: A run's file: the sequence that it is part of and its place there, its name, rows, first and last key, and some keys.
+RUN = "sequence long, place int, run string, rows long, low array<string>, high array<string>, sample array<array<string>>"
+_KEYS = pa.list_(pa.string())
+_RUN = pa.schema([("sequence", pa.int64()), ("place", pa.int32()), ("run", pa.string()), ("rows", pa.int64()), ("low", _KEYS), ("high", _KEYS), ("sample", pa.list_(_KEYS))])
+_CAPTURE = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(_CAPTURE), _CAPTURE)]
+
+
+class _RunFile:
+    """Writes sorted captures to a run's file a row group at a time."""
+
+    def __init__(self, store, root: str, name: str):
+        import pyarrow.parquet as pq
+
+        self.name, self.rows, self.low, self.high, self.sample, self.held = name, 0, None, None, [], []
+        self.out = store.open_output_stream(f"{root}/{name}")
+        self.writer = pq.ParquetWriter(self.out, _CAPTURE)
+
+    def add(self, capture: tuple) -> None:
+        key = list(capture[:2])
+        if not self.rows % SAMPLE_STEP:
+            self.sample.append(key)
+        self.low, self.high = self.low or key, key
+        self.rows += 1
+        self.held.append(capture)
+        if len(self.held) >= GROUP_ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.writer.write_table(pa.Table.from_arrays(_columns(self.held), schema=_CAPTURE))
+            self.held.clear()
+
+    def close(self, sequence: int, place: int) -> pa.RecordBatch:
+        self._flush()
+        self.writer.close()
+        self.out.close()
+        row = (sequence, place, self.name, self.rows, self.low, self.high, self.sample)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUN)], schema=_RUN)
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write rows ``page_id, url, html, digest, size, refers_to``; return the sorted runs' paths, rows and sample keys.
+    """Write rows ``page_id, url, html, digest, size, refers_to``; return the sorted runs, as rows of :data:`RUN`.
 
     A task writes under names of its own attempt, so that a repeated task
     leaves complete files and the returned rows name those of one attempt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -109,19 +158,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         def spill() -> pa.RecordBatch:
             nonlocal runs
-            captures.sort()
-            path = f"run-{name}-{runs:04d}.parquet"
-            runs += 1
-            columns = list(zip(*captures))
-            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            table = pa.table({k: pa.array(c, t) for k, c, t in zip(("urlkey", "ts", "page_id", "archive", "offset", "size"), columns, types)})
-            with store.open_output_stream(f"{root}/{path}") as f:
-                pq.write_table(table, f, row_group_size=4096)
-            step = max(1, len(captures) // 64)
-            sample = [list(x[:2]) for x in captures[::step]]
-            rows = len(captures)
+            file = _RunFile(store, root, f"run-{name}-{runs:04d}.parquet")
+            for x in sorted(captures):
+                file.add(x)
             captures.clear()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.string())))], names=["run", "rows", "sample"])
+            runs += 1
+            return file.close((context.partitionId() << 24) + runs, 0)
 
         at = 0
         for whole in batches:
@@ -144,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if captures:
             yield spill()
 
-    return pages.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(run, "run string, rows long, sample array<array<string>>")
+    return pages.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(run, RUN)
 
 
 def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -181,24 +223,47 @@ def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
         tree[0] = winner
 
 
+def range_tasks(sequences: list[list[tuple]], cuts: list[tuple]) -> list[tuple]:
+    """For each key range between ``cuts``: its number, its bounds, and the files whose keys meet it.
+
+    A sequence has files ``(run, low, high)`` in the order of their keys, so
+    that the files of a range are neighbours.
+    """
+    bounds = [None, *sorted(set(cuts)), None]
+    files: list[list[str]] = [[] for _ in bounds[1:]]
+    for sequence in sequences:
+        for run, low, high in sequence:
+            first, last = bisect_right(bounds, low, 1, len(bounds) - 1) - 1, bisect_right(bounds, high, 1, len(bounds) - 1) - 1
+            for i in range(first, last + 1):
+                files[i].append(run)
+    return [(i, bounds[i], bounds[i + 1], names) for i, names in enumerate(files) if names]
+
+
+def _cuts(runs: DataFrame, group_of: dict[int, int], ranges: int) -> dict[int, list[tuple]]:
+    """For each group of sequences the keys between its ranges, about ``ranges`` in all, from the runs' sample keys.
+
+    The keys are sorted and cut by Spark's range partitioning; a key for each range reaches the driver.
+    """
+    found: dict[int, list[tuple]] = {g: [] for g in group_of.values()}
+    if ranges <= len(found):
+        return found
+    groups = runs.sparkSession.createDataFrame(sorted(group_of.items()), "sequence long, grp long")
+    keys = runs.join(groups, "sequence").select("grp", F.explode("sample").alias("k")).select("grp", F.col("k")[0].alias("u"), F.col("k")[1].alias("t"))
+    dealt = keys.repartitionByRange(ranges, "grp", "u", "t").withColumn("part", F.spark_partition_id())
+    for r in dealt.groupBy("part", "grp").agg(F.min(F.struct("u", "t")).alias("k")).collect():
+        found[r["grp"]].append((r["k"]["u"], r["k"]["t"]))
+    return {g: sorted(x)[1:] for g, x in found.items()}
+
+
 def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """The captures of all runs, ``range`` and the columns of a capture: by range, and in a range by URL key, time and page.
 
-    Ranges are cut from the runs' sample keys, 64 or so a run, and take in
-    captures between two keys (URL key and time), so that one URL with many
-    captures is spread as well. A task reads only the row groups of its range.
+    While there are more than ``FAN_IN`` sequences, groups of so many are merged
+    into one each. Ranges take in captures between two keys (URL key and time),
+    so that one URL with many captures is spread as well. The driver has a row
+    for each file of a run (``RUN_ROWS`` or ``RANGE_ROWS`` captures) and a key for each range.
     """
     spark = runs.sparkSession
-    total = runs.agg(F.sum("rows")).first()[0] or 0
-    n = max(1, -(-total // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, total // 5_000 + 1))
-    keys = runs.select(F.explode("sample").alias("k")).select(F.struct(F.col("k")[0].alias("u"), F.col("k")[1].alias("t")).alias("k"))
-    cuts = keys.select("k", F.ntile(n).over(_by("k")).alias("part")).groupBy("part").agg(F.min("k").alias("k")).where("part > 1").orderBy("k").collect() if n > 1 else []
-    bounds = [None, *sorted({(r["k"]["u"], r["k"]["t"]) for r in cuts}), None]
-    pairs = [(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)]
-    ranges = spark.createDataFrame([(i, *(a or (None, None)), *(b or (None, None))) for i, a, b in pairs], "range int, u0 string, t0 string, u1 string, t1 string")
-    # A name for every RUN_ROWS captures; a task opens those runs whose keys meet its range, and streams through them.
-    names = sorted(r["run"] for r in runs.select("run").collect())
-    work = ranges.repartition(len(pairs), "range") if total else ranges.limit(0)
 
     def read(store, path: str, low, high) -> Iterator[tuple]:
         import pyarrow.parquet as pq
@@ -213,35 +278,51 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
                     if (low is None or row[:2] >= low) and (high is None or row[:2] < high):
                         yield row
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(store, root: str, r: dict) -> Iterator[tuple]:
+        low, high = (None if x is None else tuple(x) for x in (r["low"], r["high"]))
+        return loser_tree([read(store, f"{root}/{x}", low, high) for x in r["files"]])
+
+    def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         store, root = filesystem(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                low = None if r["u0"] is None else (r["u0"], r["t0"])
-                high = None if r["u1"] is None else (r["u1"], r["t1"])
-                merged = loser_tree([read(store, f"{root}/{x}", low, high) for x in names])
-                block: list[tuple] = []
-
-                def out() -> pa.RecordBatch:
-                    types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                    columns = [pa.array(c, t) for c, t in zip(zip(*((r["range"], *x) for x in block)), types)]
-                    block.clear()
-                    return pa.RecordBatch.from_arrays(columns, names=["range", "urlkey", "ts", "page_id", "archive", "offset", "size"])
-
-                for x in merged:
-                    block.append(x)
-                    if len(block) >= 4096:
-                        yield out()
-                if block:
-                    yield out()
-
-    return work.mapInArrow(run, "range int, " + CAPTURE)
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+                file = _RunFile(store, root, f"merge-{r['level']:02d}-{r['grp']:06d}-{r['range']:06d}-{TaskContext.get().taskAttemptId()}.parquet")
+                for x in merged(store, root, r):
+                    file.add(x)
+                row = file.close(r["grp"], r["range"])
+                if file.rows:
+                    yield row
+
+    def to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = merged(store, root, r)
+                while block := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["range"]] * len(block), pa.int32()), *_columns(block)], names=["range", *_CAPTURE.names])
+
+    level = 0
+    while True:
+        sequences: dict[int, list] = {}
+        rows: dict[int, int] = {}
+        for r in runs.select("sequence", "place", "run", "rows", "low", "high").collect():
+            sequences.setdefault(r["sequence"], []).append((r["place"], r["run"], tuple(r["low"]), tuple(r["high"])))
+            rows[r["sequence"]] = rows.get(r["sequence"], 0) + r["rows"]
+        last = len(sequences) <= FAN_IN
+        group_of = {q: i // FAN_IN for i, q in enumerate(sorted(sequences))}
+        in_group = {g: [q for q in sorted(sequences) if group_of[q] == g] for g in sorted(set(group_of.values()))}
+        ranges = sum(-(-sum(rows[q] for q in members) // RANGE_ROWS) for members in in_group.values())
+        if last:
+            ranges = max(ranges, min(spark.sparkContext.defaultParallelism, sum(rows.values()) // 5_000 + 1))
+        cuts = _cuts(runs, group_of, ranges)
+        tasks = [(level, g, *task) for g, members in in_group.items() for task in range_tasks([[f[1:] for f in sorted(sequences[q])] for q in members], cuts[g])]
+        work = spark.createDataFrame(tasks, "level int, grp long, range int, low array<string>, high array<string>, files array<string>")
+        work = work.repartition(max(1, len(tasks)), "grp", "range")
+        if last:
+            return work.mapInArrow(to_index, "range int, " + CAPTURE)
+        runs, level = keep(work.mapInArrow(to_runs, RUN), "runs"), level + 1
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
