@@ -11,7 +11,11 @@ from papyrine.shared import new_path
 _WORDS = lambda d, x: d.keep_if(d.all_of(f"lower({x})", "[a-z0-9]+"), "w", "length(w) > 2")
 SYNONYMS = {"the": ("article",), "on": ("upon", "above"), "and": ("also", "with")}
 ONE, OTHER, WINDOW = ("on in", "the"), ("and", "of the"), 12
-EXPOSED, RESULTS, DOWN, UP = ("red", "small", "large", "blue", "green"), ("widget", "ring", "bolt", "gear", "panel"), ("economy",), ("standard", "promo")
+POOLS = (("red", "small", "large", "blue", "green"), ("widget", "ring", "bolt", "gear", "panel"))
+#: A claim that has words of both lists sounds like the first.
+TONES = {"up": ("standard", "promo"), "down": ("economy",)}
+ENDINGS = {("up", "down"): "first up, then down", ("down", "up"): "first down, then up", ("up", "up"): "both up"}
+OTHERWISE, WITHOUT = "no clear direction", "Two claims without a common subject"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,7 +42,7 @@ def f34_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("claim")
     before = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
     pairs = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", claim).withColumn("other", F.lag("claim").over(before)).where("other IS NOT NULL")
-    return pairs.select("p_partkey", wording.disagreement(F.col("other"), F.col("claim"), EXPOSED, RESULTS, DOWN, UP).alias("title"))
+    return pairs.select("p_partkey", wording.pair_title(F.col("other"), F.col("claim"), POOLS, TONES, ENDINGS, OTHERWISE, WITHOUT).alias("title"))
 
 
 def s6_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +127,8 @@ def _quoted(x: str) -> str:
 
 
 def _latex_sql() -> str:
-    x = "text"
-    for char, written in wording.latex_steps():
-        x = f"replace({x}, {f'chr({ord(char)})' if char < ' ' else _quoted(char)}, {f'chr({ord(written)})' if written < ' ' else _quoted(written)})"
-    return f"SELECT doc_id, {x} AS escaped FROM documents"
+    cases = " ".join(f"WHEN {_quoted(char)} THEN {_quoted(written)}" for char, written in wording.LATEX.items())
+    return f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(string_split(text, ''), lambda c: CASE c {cases} ELSE c END), '') END AS escaped FROM documents"
 
 
 def _near_sql() -> str:
@@ -146,15 +148,16 @@ def _near_sql() -> str:
         SELECT doc_id, doc_id IN (SELECT doc_id FROM n) AS near FROM documents"""
 
 
-def _disagreement_sql() -> str:
+def _pair_title_sql() -> str:
     has = lambda side, words: "(" + " OR ".join(f"list_contains({side}, '{w}')" for w in words) + ")"
     first = lambda pool: "CASE " + " ".join(f"WHEN list_contains(x, '{w}') AND list_contains(y, '{w}') THEN '{w}'" for w in pool) + " END"
+    sounds = lambda side: "CASE " + " ".join(f"WHEN {has(side, words)} THEN '{name}'" for name, words in TONES.items()) + " ELSE '' END"
+    endings = " ".join(f"WHEN tx = '{a}' AND ty = '{b}' THEN '{ending}'" for (a, b), ending in ENDINGS.items())
     return f"""
         WITH c AS (SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9\\- ]+', '', 'g'), ' +'), lambda t: length(t) > 2) AS y, p_brand, p_size FROM part),
         p AS (SELECT p_partkey, y, lag(y) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS x FROM c),
-        q AS (SELECT p_partkey, {first(EXPOSED)} AS e, {first(RESULTS)} AS o, {has("x", UP)} AS px, {has("y", UP)} AS py, {has("x", DOWN)} AS nx, {has("y", DOWN)} AS ny FROM p WHERE x IS NOT NULL)
-        SELECT p_partkey, coalesce(upper(e[1]) || e[2:] || ' and ' || o || CASE WHEN nx AND NOT px AND py THEN ': no association, or an increased risk?' WHEN px AND ny AND NOT py THEN ': an increased risk, or no association?'
-          ELSE ': two papers disagree on the finding.' END, 'Two papers disagree on the finding.') AS title FROM q"""
+        q AS (SELECT p_partkey, {first(POOLS[0])} AS e, {first(POOLS[1])} AS o, {sounds("x")} AS tx, {sounds("y")} AS ty FROM p WHERE x IS NOT NULL)
+        SELECT p_partkey, CASE WHEN e IS NULL OR o IS NULL THEN '{WITHOUT}' ELSE e || ' / ' || o || ': ' || CASE {endings} ELSE '{OTHERWISE}' END END AS title FROM q"""
 
 
 _SYNONYM_SQL = "CASE w " + " ".join(f"WHEN '{w}' THEN {list(own)!r}" for w, own in SYNONYMS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
@@ -165,7 +168,7 @@ SQL |= {
     "f10_synonyms": f"SELECT item_id, array_to_string(list_concat(w, flatten(list_transform(w, lambda w: {_SYNONYM_SQL}))), ' ') AS expanded FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) x",
     "f15_co_occurrence": _near_sql(),
     "f23_latex": _latex_sql(),
-    "f34_disagreements": _disagreement_sql(),
+    "f34_disagreements": _pair_title_sql(),
     "s6_multi_source": """
         WITH r AS (SELECT s_suppkey AS key, s_name AS name, NULL AS size, 0 AS prio FROM supplier UNION ALL SELECT p_partkey, p_name, p_size, 2 FROM part)
         SELECT key, arg_min(name, CASE WHEN name IS NOT NULL THEN prio END) AS name, arg_min(size, CASE WHEN size IS NOT NULL THEN prio END) AS size FROM r GROUP BY key""",

@@ -73,9 +73,12 @@ def test_tail_against_binomials(spark):
 
 
 def test_power_has_the_published_figures():
-    assert round(statistics.power_of(88, 15 / 88), 3) == 0.446
-    assert statistics.needed(15 / 88) == 209
-    assert statistics.needed(0.0) is None
+    assert round(statistics.RANKING_TEST.power(88, 15 / 88), 3) == 0.446
+    assert statistics.RANKING_TEST.size(15 / 88) == 209
+    assert statistics.RANKING_TEST.size(0.0) is None
+    for share in (0.03, 0.1, 0.31, 0.5, 0.8):  # the same as a search through all sizes
+        every = next((n for n in range(10, 4000) if statistics.RANKING_TEST.power(n, min(share, 1 - share)) >= statistics.POWER), None)
+        assert statistics.RANKING_TEST.size(share) == every
 
 
 def test_intents(spark):

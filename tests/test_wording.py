@@ -30,9 +30,11 @@ def test_synonyms(spark):
 
 
 def test_titles(spark):
-    title = wording.disagreement(F.col("a").cast("string"), F.col("b").cast("string"))
-    assert _one(spark, title, a="Coffee is not tied to stroke", b="coffee increased stroke") == "Coffee and stroke: no association, or an increased risk?"
-    assert _one(spark, title, a="coffee increased stroke", b="Coffee is not tied to stroke") == "Coffee and stroke: an increased risk, or no association?"
-    assert _one(spark, title, a="coffee, stroke", b="coffee stroke") == "Coffee and stroke: two papers disagree on the finding."
-    assert _one(spark, title, a=None, b="") == "Two papers disagree on the finding."
+    tones = {"plus": ["higher", "more"], "minus": ["lower"]}
+    title = wording.pair_title(F.col("a").cast("string"), F.col("b").cast("string"), [["tea", "salt"], ["stroke"]], tones, {("plus", "minus"): "up or down?"}, "undecided", "nothing shared")
+    assert _one(spark, title, a="Salt means higher stroke rates", b="salt, lower stroke") == "salt / stroke: up or down?"
+    assert _one(spark, title, a="salt, lower stroke", b="Salt means higher stroke rates") == "salt / stroke: undecided"
+    assert _one(spark, title, a="salt: lower and higher stroke", b="salt lower stroke") == "salt / stroke: up or down?"
+    assert _one(spark, title, a="tea and stroke", b="salt and stroke") == "nothing shared"
+    assert _one(spark, title, a=None, b="") == "nothing shared"
     assert _one(spark, wording.readable(F.col("a")), a="small-sample_size") == "small sample size"
