@@ -70,7 +70,7 @@ def title_terms(title: Column, stop: Sequence[str]) -> Column:
 def capped(text: Column, limit: int) -> Column:
     """a text of at most ``limit`` characters, cut at the last space inside it and marked by dots if it is longer."""
     head = F.substring(text, 1, limit)
-    whole = F.regexp_replace(head, r"\s+\S*$", "")
+    whole = F.regexp_replace(head, r"\s+\S*\z", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.when(F.length(whole) > 0, whole).otherwise(head), F.lit("...")))
 
 

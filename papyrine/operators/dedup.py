@@ -63,10 +63,12 @@ def by_title_and_year(papers: DataFrame) -> DataFrame:
 
 
 def by_title_near_year(papers: DataFrame) -> DataFrame:
-    """D3: the same title, a surname in common, one or two years apart: the first records of such years."""
-    firsts = _named(papers).where("year IS NOT NULL").groupBy("title", "surname", "year").agg(F.min("id").alias("id"))
-    later = firsts.select("title", "surname", F.explode(F.array(*(F.col("year") - k for k in range(1, YEARS + 1)))).alias("year"), F.col("id").alias("other"))
-    return firsts.join(later, ["title", "surname", "year"]).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.lit("near_year").alias("rule")).distinct()
+    """D3: the same title, a surname in common, one or two years apart: each record and the first one of such a year."""
+    rows = _named(papers).where("year IS NOT NULL").select("id", "title", "surname", "year")
+    firsts = rows.groupBy("title", "surname", "year").agg(F.min("id").alias("first"))
+    gaps = [k for k in range(-YEARS, YEARS + 1) if k]
+    near = firsts.select("title", "surname", "first", F.explode(F.array(*(F.col("year") + k for k in gaps))).alias("year"))
+    return rows.join(near, ["title", "surname", "year"]).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), F.lit("near_year").alias("rule")).distinct()
 
 
 def by_preprint(papers: DataFrame) -> DataFrame:

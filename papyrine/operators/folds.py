@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def greedy_chunks(items: DataFrame, key: str, size: str, limit: float, order: str) -> DataFrame:
@@ -16,32 +17,61 @@ def greedy_chunks(items: DataFrame, key: str, size: str, limit: float, order: st
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        chunk, used, out = 0, 0.0, []
-        for x in pdf[size]:
-            if used and used + x > limit:
-                chunk, used = chunk + 1, 0.0
-            used += x
-            out.append(chunk)
-        return pdf.assign(chunk=out)
+        sums = np.r_[0.0, np.cumsum(pdf[size].to_numpy(float))]
+        chunk, at, n = np.zeros(len(pdf), np.int64), 0, 0
+        while at < len(pdf):  # a step for each chunk: the last item whose sum still fits
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + limit, "right")) - 1)
+            chunk[at:end] = n
+            at, n = end, n + 1
+        return pdf.assign(chunk=chunk)
 
     return items.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(size).cast("double")).groupBy(key).applyInPandas(fold, schema)
 
 
 def admit(calls: DataFrame, key: str, cost: str, cap: float, order: str) -> DataFrame:
-    """``admitted`` for each call in order: a call that would exceed the cap is refused and adds nothing."""
+    """``admitted`` for each call in order: a call that would exceed the cap is refused and adds nothing."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        spent, out = 0.0, []
-        for x in pdf[cost]:
-            ok = spent + x <= cap
-            spent += x if ok else 0.0
-            out.append(ok)
-        return pdf.assign(admitted=out)
+        costs = pdf[cost].to_numpy(float)
+        sums = np.r_[0.0, np.cumsum(costs)]
+        admitted, at, refused, rising = np.zeros(len(pdf), bool), 0, 0.0, bool((costs >= 0).all())
+        while at < len(pdf):  # a step for each refusal: up to the first call that goes beyond the cap
+            end = int(np.searchsorted(sums, cap + refused, "right")) - 1 if rising else at
+            end = min(max(end, at), len(pdf))
+            admitted[at:end] = True
+            if end < len(pdf):
+                admitted[end] = sums[end + 1] - refused <= cap
+                refused += 0.0 if admitted[end] else costs[end]
+            at = end + 1
+        return pdf.assign(admitted=admitted)
 
     return calls.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(cost).cast("double")).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, {cost} double, admitted boolean")
 
 
+def round_robin(items: DataFrame, target: int, budget: float) -> DataFrame:
+    """``run, library, item, place`` of what a run takes from libraries by turns: every library's cheapest first, then their next.
+
+    An item that the rest of the budget does not allow is passed over and the run
+    goes on until it has ``target`` items. Which items are taken depends on all
+    before, so that a run is one task; items beyond the whole budget never reach it.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, taken = budget, []
+        for row in pdf.sort_values(["turn", "library"]).itertuples(index=False):
+            if len(taken) == target:
+                break
+            if row.cost <= left:
+                left -= row.cost
+                taken.append((row.run, row.library, row.item, len(taken) + 1))
+        return pd.DataFrame(taken, columns=["run", "library", "item", "place"])
+
+    turn = F.row_number().over(Window.partitionBy("run", "library").orderBy("cost", "item"))
+    able = items.where(F.col("cost") <= budget).select("run", "library", F.col("item").cast("long").alias("item"), F.col("cost").cast("double").alias("cost"), turn.alias("turn"))
+    return able.groupBy("run").applyInPandas(fold, "run string, library string, item long, place long")
+
+
 def first_seen(rows: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
     """The rows that share no key with an earlier *kept* row of their group; rejected rows register no keys."""
 

@@ -43,6 +43,11 @@ def other_owner(a: dict, b: dict) -> np.ndarray:
     return a["owner"] != b["owner"]
 
 
+def any_pair(a: dict, b: dict) -> np.ndarray:
+    """Any two claims."""
+    return (a["id"] == a["id"]) & (b["id"] == b["id"])
+
+
 def near(left: DataFrame, right: DataFrame, allowed: Allowed, threshold: float, *, per_owner: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Allowed pairs of claims ``id, owner, yr, grp, v`` (longs, unit vectors) whose product reaches ``threshold``.
 

@@ -41,7 +41,7 @@ TEMPLATES = {
     "a11_median_span": lambda d: f"""
         SELECT p_brand, CAST(floor({d.percentile("CAST(year(l_shipdate) AS DOUBLE)", "0.5")}) AS BIGINT) AS median_year, CAST(max(year(l_shipdate)) - min(year(l_shipdate)) AS BIGINT) AS span
         FROM {d.t("lineitem")} JOIN {d.t("part")} ON l_partkey = p_partkey GROUP BY p_brand""",
-    # Totals by stage, the running total, and what came after a cut
+    # Totals by stage, the running total, and what came after a cut
     "a12_stage_totals": lambda d: f"""
         SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS cost, round(sum(CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN value ELSE 0 END), 4) AS after_cut
         FROM {d.t("events")} GROUP BY event_type""",
@@ -50,7 +50,7 @@ TEMPLATES = {
         SELECT o_orderpriority, count(*) AS pending, round(sum(o_totalprice), 2) AS amount FROM {d.t("orders")}
         WHERE NOT EXISTS (SELECT 1 FROM {d.t("lineitem")} WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') GROUP BY o_orderpriority""",
     "a15_mean_sd": lambda d: f"SELECT l_linenumber, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd FROM {d.t('lineitem')} GROUP BY l_linenumber",
-    # Slope and fit in log-log space, its band, and a projection by the power law
+    # Slope and fit in log-log space, and its band
     "a16_loglog_slope": lambda d: f"""
         SELECT round(slope, 6) AS slope, round(r2, 6) AS r2, CASE WHEN r2 >= 0.9 THEN 'firm' WHEN r2 >= 0.7 THEN 'fair' ELSE 'weak' END AS band, round(power(8.0, slope), 4) AS cost_at_8_times FROM (
           SELECT regr_slope(ln(pairs), ln(n)) AS slope, regr_r2(ln(pairs), ln(n)) AS r2 FROM (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.plans import aggregates, claims, dialect, findings, increments, listings, programs, relations, scalars, windows, wording
+from papyrine.plans import aggregates, claims, dialect, findings, increments, listings, more, papers, programs, relations, scalars, searching, windows, wording
 
 FLAGSHIP = "r1_recurring_limitations"
 
@@ -12,6 +12,6 @@ for _module in (listings, aggregates, windows, scalars, relations, findings, inc
     _queries, _sql = dialect.queries(_module.TEMPLATES)
     QUERIES |= _queries
     SQL |= _sql
-for _module in (programs, claims, wording):
+for _module in (programs, claims, wording, searching, papers, more):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -1,4 +1,4 @@
-"""Claims against claims: temporal joins J2 and J3, scorers R2 to R5 with J15 and J16, threshold V3.
+"""Claims against claims: temporal joins J2 and J3, scorer R3.
 
 The tables have no claims of papers; every vector stands for one. Its paper,
 year and kind are derived from its id and label: claims of ``ITEM_KIND`` are the
@@ -13,7 +13,6 @@ from papyrine.operators import near
 from papyrine.shared import keep
 
 ITEM_KIND = 0
-WEAK_BRIDGE = 0.02
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +45,6 @@ def j3_later_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rn", rank).where("rn <= 4").select("item", "paper", "rn", F.round("sim", 5).alias("sim"))
 
 
-def r2_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near claims of two papers on one topic; papers that do not cite each other score higher."""
-    rows = claims(spark, sf_dir)
-    found = near.reaching(near.near(rows, rows, near.same_group, 0.35))
-    cites = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("pa"), (F.col("l_partkey") % 97).alias("owner")).distinct().withColumn("cited", F.lit(1))
-    of_a = found.withColumn("pa", F.floor(F.col("i") / 5)).join(cites, ["pa", "owner"], "left")
-    score = 0.5 * F.col("sim") + 0.4 * F.when(F.col("cited").isNull(), 1).otherwise(0)
-    return of_a.select(F.col("i").alias("a"), F.col("j").alias("b"), F.round(score, 5).alias("score"), F.round(0.35 + 0.4 * F.col("sim"), 5).alias("confidence"))
-
-
 def r3_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exclusion rule for each item, in their order (R3a), and the score of what is shown."""
     rows = claims(spark, sf_dir)
@@ -66,62 +55,17 @@ def r3_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item", "near", "age", verdict.alias("verdict"), F.round(score, 6).alias("score"))
 
 
-def r4_method_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest claims of each pair of groups whose bridge is weak: at most ``WEAK_BRIDGE`` of their pairs are near.
-
-    A bridge whose nearest claims are of one paper transfers nothing and goes
-    (J15: what the other group has already).
-    """
-    rows = claims(spark, sf_dir)
-    found = near.reaching(near.near(rows, rows, near.later_group, 0.25))
-    groups = rows.select("id", "grp")
-    pairs = found.join(groups.select(F.col("id").alias("i"), F.col("grp").alias("ga")), "i").join(groups.select(F.col("id").alias("j"), F.col("grp").alias("gb")), "j")
-    first = F.min(F.struct((-F.col("sim")).alias("far"), F.col("i").alias("a"), F.col("j").alias("b"))).alias("m")
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    best = pairs.groupBy("ga", "gb").agg(F.count("*").alias("bridge"), first).where("floor(m.a / 5) <> floor(m.b / 5)")
-    best = best.join(sizes.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").join(sizes.select(F.col("grp").alias("gb"), F.col("n").alias("nb")), "gb").where(F.col("bridge") <= WEAK_BRIDGE * F.col("na") * F.col("nb"))
-    return best.select("ga", "gb", "m.a", "m.b", "bridge", F.round(-F.col("m.far"), 5).alias("sim"))
-
-
-def r5_disjoint_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A and C far apart, both near one B of another paper (J16): two similarity joins, then the product of the ends."""
-    rows = claims(spark, sf_dir)
-    links = keep(near.reaching(near.near(rows, rows, near.other_owner, 0.3)).select("i", "j", "sim"), "links")
-    two = links.select(F.col("i").alias("a"), F.col("j").alias("bridge"), F.col("sim").alias("s1")).join(links.select(F.col("i").alias("bridge"), F.col("j").alias("c"), F.col("sim").alias("s2")), "bridge")
-    ends = two.where("a < c AND floor(a / 5) <> floor(c / 5)").join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("c"), F.col("v").alias("vc")), "c")
-    between = F.aggregate(F.zip_with("va", "vc", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return ends.where(between < 0.1).select("a", "bridge", "c", F.round(F.least("s1", "s2"), 5).alias("strength"))
-
-
-def v3_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 95th percentile of every claim's best product with an earlier one."""
-    rows = claims(spark, sf_dir)
-    best = near.nearest(near.near(rows, rows, near.earlier, 2.0))
-    return best.agg(F.round(F.percentile("best", F.lit(0.95)), 5).alias("tau"), F.count("*").alias("draws"))
-
-
 _C = "c AS (SELECT vec_id, CAST(floor(vec_id / 5) AS BIGINT) AS paper, 2010 + vec_id % 12 AS yr, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _LATER = f"WITH {_C}, p AS (SELECT i.vec_id AS item, c.paper, list_dot_product(i.v, c.v) AS sim FROM c i JOIN c ON c.yr > i.yr AND c.paper <> i.paper WHERE i.label = {ITEM_KIND})"
 
-QUERIES = {f.__name__: f for f in (j2_later_claims, j3_later_papers, r2_contradictions, r3_orphans, r4_method_transfer, r5_disjoint_bridges, v3_threshold)}
+QUERIES = {f.__name__: f for f in (j2_later_claims, j3_later_papers, r3_orphans)}
 SQL = {
     "j2_later_claims": f"""{_LATER}
         SELECT item, round(max(sim), 5) AS best, count(DISTINCT CASE WHEN sim >= 0.2 THEN paper END) AS near_later,
           CASE WHEN max(sim) >= 0.35 THEN 'addressed' WHEN count(DISTINCT CASE WHEN sim >= 0.2 THEN paper END) < 5 THEN 'sparse' ELSE 'open' END AS status FROM p GROUP BY item""",
     "j3_later_papers": f"""{_LATER}, m AS (SELECT item, paper, max(sim) AS sim FROM p WHERE sim >= 0.15 GROUP BY item, paper)
         SELECT item, paper, rn, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, paper) AS rn FROM m) x WHERE rn <= 4""",
-    "r2_contradictions": f"""WITH {_C}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.paper AS pa, b.paper AS pb, list_dot_product(a.v, b.v) AS sim FROM c a JOIN c b ON a.vec_id < b.vec_id AND a.paper <> b.paper AND a.label = b.label),
-        e AS (SELECT DISTINCT l_suppkey AS x, l_partkey % 97 AS y FROM lineitem)
-        SELECT a, b, round(0.5e0 * sim + 0.4e0 * CASE WHEN e.x IS NULL THEN 1 ELSE 0 END, 5) AS score, round(0.35e0 + 0.4e0 * sim, 5) AS confidence FROM p LEFT JOIN e ON e.x = pa AND e.y = pb WHERE sim >= 0.35""",
     "r3_orphans": f"""{_LATER}, m AS (SELECT max(yr) AS newest FROM c), g AS (SELECT item, max(sim) AS best, count(DISTINCT CASE WHEN sim >= 0.15 THEN paper END) AS n FROM p GROUP BY item)
         SELECT i.vec_id AS item, coalesce(g.n, 0) AS near, newest - i.yr AS age, CASE WHEN best >= 0.35 THEN 'addressed' WHEN coalesce(g.n, 0) < 5 THEN 'sparse' WHEN newest - i.yr < 2 THEN 'young' ELSE 'shown' END AS verdict,
           round(0.6e0 * coalesce(g.n, 0) / (coalesce(g.n, 0) + 8e0) + 0.4e0 * least(1e0, (newest - i.yr) / 6e0), 6) AS score FROM c i LEFT JOIN g ON g.item = i.vec_id CROSS JOIN m WHERE i.label = {ITEM_KIND}""",
-    "r4_method_transfer": f"""WITH {_C}, p AS (SELECT a.label AS ga, b.label AS gb, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM c a JOIN c b ON a.label < b.label),
-        r AS (SELECT *, count(*) OVER (PARTITION BY ga, gb) AS bridge, row_number() OVER (PARTITION BY ga, gb ORDER BY sim DESC, a, b) AS rn FROM p WHERE sim >= 0.25),
-        n AS (SELECT label, count(*) AS n FROM c GROUP BY label)
-        SELECT ga, gb, a, b, bridge, round(sim, 5) AS sim FROM r JOIN n x ON x.label = ga JOIN n y ON y.label = gb WHERE rn = 1 AND bridge <= {WEAK_BRIDGE} * x.n * y.n AND floor(a / 5) <> floor(b / 5)""",
-    "r5_disjoint_bridges": f"""WITH {_C}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.paper AS pa, b.paper AS pb, list_dot_product(a.v, b.v) AS sim FROM c a JOIN c b ON a.paper <> b.paper)
-        SELECT x.a, x.b AS bridge, y.b AS c, round(least(x.sim, y.sim), 5) AS strength FROM s x JOIN s y ON y.a = x.b AND x.a < y.b AND x.pa <> y.pb JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.sim >= 0.3 AND y.sim >= 0.3 AND z.sim < 0.1""",
-    "v3_threshold": f"""WITH {_C}, b AS (SELECT a.vec_id, max(list_dot_product(a.v, b.v)) AS best FROM c a JOIN c b ON b.yr < a.yr AND a.paper <> b.paper GROUP BY a.vec_id)
-        SELECT round(quantile_cont(best, 0.95), 5) AS tau, count(*) AS draws FROM b""",
 }

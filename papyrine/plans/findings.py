@@ -1,38 +1,15 @@
-"""Scorers R1 and R10, search I1-I17, validation V1-V18, coherence C1-C7 and classification K1-K8."""
+"""Scorers R1 and R10, phrases I17, validation V1-V18, coherence C1-C7 and classification K1-K8."""
 
 _CLAIMS = lambda d: f"(SELECT vec_id, CAST(floor(vec_id / 5) AS BIGINT) AS paper, 2010 + vec_id % 12 AS yr, label, embedding FROM {d.t('embeddings')})"
 _TOKENS = lambda d, x: d.keep_if(d.all_of(f"lower({x})", "[a-z0-9]+"), "w", "length(w) > 2")
 
 
-def _index(d) -> str:
-    """Postings with augmented term weights, pruned to the 45 best of each document and normalised."""
-    return f"""
-        raw AS (SELECT doc_id, {d.explode(_TOKENS(d, "text"))} AS term FROM {d.t("documents")}),
-        tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS c FROM raw GROUP BY doc_id, term),
-        n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {d.t("documents")}),
-        idf AS (SELECT term, ln((max(n) + 1) / (count(*) + 0.5e0)) AS idf, count(*) AS df FROM tf CROSS JOIN n GROUP BY term HAVING count(*) >= 2),
-        weighted AS (SELECT tf.doc_id, tf.term, round((0.5e0 + 0.5e0 * c / max(c) OVER (PARTITION BY tf.doc_id)) * idf, 6) AS w FROM tf JOIN idf ON idf.term = tf.term),
-        pruned AS (SELECT doc_id, term, w FROM (SELECT doc_id, term, w, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rn FROM weighted) x WHERE rn <= 45),
-        postings AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM pruned)"""
-
-
-def _search(d) -> str:
-    """Queries as normalised vectors, scores as sparse dot products, coverage of the known terms."""
-    return f"""{_index(d)},
-        q0 AS (SELECT DISTINCT item_id, {d.explode(_TOKENS(d, "text"))} AS term FROM {d.t("benchmark")}),
-        top_idf AS (SELECT max(idf) AS max_idf FROM idf),
-        q1 AS (SELECT item_id, q0.term, idf FROM q0 LEFT JOIN idf ON idf.term = q0.term),
-        coverage AS (SELECT item_id, sum(coalesce(idf, 0)) / (sum(coalesce(idf, 0)) + 3.5e0 * max(max_idf) * sum(CASE WHEN idf IS NULL THEN 1 ELSE 0 END)) AS coverage FROM q1 CROSS JOIN top_idf GROUP BY item_id),
-        qv AS (SELECT item_id, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY item_id)) AS w FROM q1 WHERE idf IS NOT NULL),
-        hits AS (SELECT item_id, doc_id, round(sum(qv.w * p.w), 5) AS score, count(*) AS matched FROM qv JOIN postings p ON p.term = qv.term GROUP BY item_id, doc_id)"""
-
-
 TEMPLATES = {
     # Recurring limitations of independent papers, scored by weight, methods and span of years
     "r1_recurring_limitations": lambda d: f"""
         WITH own AS (
           SELECT concat(p_type, '/', p_brand) AS category, l_orderkey AS paper, o_custkey AS author, p_size AS method, CAST(year(o_orderdate) AS BIGINT) AS yr, CASE WHEN o_totalprice >= 200000 THEN 1 ELSE 0 END AS fulltext
-          FROM {d.t("lineitem")} JOIN {d.t("orders")} ON l_orderkey = o_orderkey JOIN {d.t("part")} ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1),
+          FROM {d.t("lineitem")} JOIN {d.t("orders")} ON l_orderkey = o_orderkey JOIN {d.t("part")} ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
         reps AS (SELECT category, coalesce(CAST(author AS VARCHAR(20)), concat('paper:', CAST(paper AS VARCHAR(20)))) AS who, min(paper) AS paper, max(fulltext) AS fulltext FROM own GROUP BY category, coalesce(CAST(author AS VARCHAR(20)), concat('paper:', CAST(paper AS VARCHAR(20))))),
         a AS (SELECT category, count(*) AS n, sum(CASE WHEN fulltext = 1 THEN 1e0 ELSE 3e0 END) AS weight, avg(CAST(fulltext AS DOUBLE)) AS full_share FROM reps GROUP BY category HAVING count(*) >= 3),
         b AS (SELECT category, count(DISTINCT method) AS methods, max(yr) - min(yr) AS span FROM own GROUP BY category),
@@ -40,37 +17,21 @@ TEMPLATES = {
           round(greatest(0e0, least(1e0, 0.30e0 + 0.08e0 * (n - 3) + 0.25e0 * full_share)), 6) AS confidence FROM a JOIN b ON b.category = a.category)
         SELECT category, n, methods, score, confidence, CASE WHEN confidence >= 0.60 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS tier,
           CAST(row_number() OVER (ORDER BY round(score * confidence, 6) DESC, category) AS BIGINT) AS place FROM s""",
-    # Cluster count from the size; violations of what a result must have
+    # Cluster count from the size; violations of what a result must have
     "r10_validity_audit": lambda d: f"""
         SELECT source, count(*) AS n, CAST(greatest(2, round(sqrt(count(*)))) AS BIGINT) AS clusters, CAST(sum(CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_text, max(n_chars) < 300 AS weak FROM {d.t("documents")} GROUP BY source""",
-    "i3_idf": lambda d: f"WITH {_index(d)} SELECT term, df, round(idf, 6) AS idf FROM idf",
-    "i6_postings": lambda d: f"WITH {_index(d)} SELECT doc_id, count(*) AS terms, round(sum(w * w), 6) AS squared FROM postings GROUP BY doc_id",
-    "i8_gate": lambda d: f"SELECT n, CASE WHEN n >= 150 THEN 0.09e0 ELSE 0.045e0 END AS breadth_gate, greatest(0.025e0, least(0.05e0, 5e0 / greatest(50, n))) AS best_gate FROM (SELECT count(*) AS n FROM {d.t('documents')}) x",
-    "i11_search_hits": lambda d: f"WITH {_search(d)} SELECT item_id, doc_id, score, place FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS BIGINT) AS place FROM hits WHERE score > 0) x WHERE place <= 10",
-    # Coverage, breadth and the verdict ladder
-    "i15_search_verdicts": lambda d: f"""
-        WITH {_search(d)}, h AS (SELECT item_id, max(score) AS best, CAST(count(*) AS DOUBLE) AS found FROM hits WHERE score > 0 GROUP BY item_id)
-        SELECT c.item_id, round(coverage, 5) AS coverage, coalesce(best, 0) AS best, round(coalesce(found, 0) / n, 5) AS breadth,
-          CASE WHEN best IS NULL THEN 'empty' WHEN coverage >= 0.62 AND best >= 0.05 THEN 'in_domain' WHEN coverage >= 0.28 AND best >= 0.2 THEN 'borderline' ELSE 'out_of_domain' END AS verdict
-        FROM coverage c LEFT JOIN h ON h.item_id = c.item_id CROSS JOIN n""",
-    # The rarest term with a typed prefix
-    "i10_prefix": lambda d: f"WITH {_index(d)} SELECT prefix, count(*) AS terms, min(term) AS first_term, round(min(idf), 6) AS least_idf FROM idf JOIN (SELECT 'the' AS prefix UNION ALL SELECT 'con' UNION ALL SELECT 'ein') q ON term LIKE concat(prefix, '%') GROUP BY prefix",
     # Phrases that one corpus has and others do not
     "i17_distinctive": lambda d: f"""
         WITH t AS (SELECT lang, {d.explode(d.distinct(_TOKENS(d, "text")))} AS term FROM {d.t("documents")}), n AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM {d.t("documents")} GROUP BY lang),
         s AS (SELECT t.lang, term, count(*) / max(n) AS share FROM t JOIN n ON n.lang = t.lang GROUP BY t.lang, term),
         m AS (SELECT a.lang, a.term, a.share - coalesce(max(b.share), 0) AS lead FROM s a LEFT JOIN s b ON b.term = a.term AND b.lang <> a.lang GROUP BY a.lang, a.term, a.share)
         SELECT lang, term, rn FROM (SELECT lang, term, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(lead, 9) DESC, term) AS BIGINT) AS rn FROM m) x WHERE rn <= 15""",
-    # Queries routed across corpora
-    "x17_routing": lambda d: f"WITH {_search(d)} SELECT item_id, source, best FROM (SELECT item_id, source, max(score) AS best, row_number() OVER (PARTITION BY item_id ORDER BY max(score) DESC, source) AS rn FROM hits JOIN {d.t('documents')} x ON x.doc_id = hits.doc_id GROUP BY item_id, source) y WHERE rn <= 3",
-    # Frozen at a year, the evidence after it
-    "v1_freeze": lambda d: f"SELECT CAST(sum(CASE WHEN year(o_orderdate) <= 1998 THEN 1 ELSE 0 END) AS BIGINT) AS frozen, CAST(sum(CASE WHEN year(o_orderdate) > 1998 AND year(o_orderdate) <= 2000 THEN 1 ELSE 0 END) AS BIGINT) AS evidence, count(*) AS n FROM {d.t('orders')}",
     # V6: area under the curve with half ties; rows are counted by score before the running sum, which sees distinct scores only
     "v6_auc": lambda d: f"""
         WITH s AS (SELECT n_chars AS score, CAST(sum(quality) AS DOUBLE) AS pos, CAST(sum(1 - quality) AS DOUBLE) AS neg FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id GROUP BY n_chars),
         r AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg / 2e0 AS below FROM s)
         SELECT round(sum(pos * below) / (sum(pos) * sum(neg)), 9) AS auc FROM r""",
-    # V7, V9: percentile intervals over draws that a digest makes
+    # V7: percentile intervals over draws that a digest makes
     "v7_bootstrap": lambda d: f"""
         WITH r AS (SELECT doc_id, quality, {d.explode(d.range(1, 40))} AS b FROM {d.t("labels")}), w AS (SELECT b, quality, substr({d.sha("concat(CAST(doc_id AS VARCHAR(20)), '|', CAST(b AS VARCHAR(5)))")}, 1, 1) AS h FROM r),
         m AS (SELECT b, sum(CASE WHEN h < '6' THEN 0e0 WHEN h < 'c' THEN quality ELSE 2e0 * quality END) / sum(CASE WHEN h < '6' THEN 0e0 WHEN h < 'c' THEN 1e0 ELSE 2e0 END) AS mean FROM w GROUP BY b)
@@ -82,25 +43,14 @@ TEMPLATES = {
         SELECT round((1 + sum(CASE WHEN abs(m.d) >= abs(o.d) THEN 1e0 ELSE 0e0 END)) / (1 + count(*)), 6) AS p_value FROM m CROSS JOIN o""",
     # Confusion counts of a rule against labels
     "v13_confusion": lambda d: f"SELECT toxic, CASE WHEN {d.matches('lower(text)', 'idiot|stupid|trash|moron|loser|clown')} THEN 1 ELSE 0 END AS flagged, count(*) AS n FROM {d.t('documents')} x JOIN {d.t('labels')} l ON l.doc_id = x.doc_id GROUP BY toxic, CASE WHEN {d.matches('lower(text)', 'idiot|stupid|trash|moron|loser|clown')} THEN 1 ELSE 0 END",
-    # A grid of sizes and draws, mean and spread of the yield
-    "v14_scaling": lambda d: f"""
-        WITH g AS (SELECT n, draw, c_custkey, substr({d.sha("concat(CAST(c_custkey AS VARCHAR(20)), '|', CAST(draw AS VARCHAR(5)))")}, 1, 8) AS h FROM {d.t("customer")} CROSS JOIN (SELECT 40 AS n UNION ALL SELECT 80 UNION ALL SELECT 120) a CROSS JOIN (SELECT 1 AS draw UNION ALL SELECT 2 UNION ALL SELECT 3) b),
-        s AS (SELECT n, draw, c_custkey FROM (SELECT n, draw, c_custkey, row_number() OVER (PARTITION BY n, draw ORDER BY h, c_custkey) AS rn FROM g) x WHERE rn <= n),
-        y AS (SELECT n, draw, CAST(count(*) AS DOUBLE) AS yield FROM s JOIN {d.t("orders")} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY n, draw)
-        SELECT n, round(avg(yield), 6) AS mean, round(stddev_pop(yield), 6) AS sd FROM y GROUP BY n""",
-    # Features of each corpus, two scores of clamped linear terms, bands
-    "c1_coherence": lambda d: f"""
-        WITH f AS (SELECT lang, avg(CASE WHEN {d.matches("text", "^The")} THEN 1e0 ELSE 0e0 END) AS review, avg(CASE WHEN n_chars >= 3000 THEN 1e0 ELSE 0e0 END) AS full_share, count(DISTINCT source) / 20e0 AS spread FROM {d.t("documents")} GROUP BY lang),
-        s AS (SELECT lang, review, full_share, spread, (least(1e0, review / 0.3e0) + least(1e0, full_share / 0.5e0) + spread) / 3 AS contested, (spread + 1 - review) / 2 AS transfer FROM f)
-        SELECT lang, round(review, 6) AS review, round(contested, 6) AS contested, round(transfer, 6) AS transfer, CASE WHEN contested >= 0.65 THEN 'strong' WHEN contested >= 0.40 THEN 'fair' ELSE 'weak' END AS verdict FROM s""",
     "c7_domain_selection": lambda d: f"SELECT source, n, CAST(row_number() OVER (ORDER BY CASE WHEN n >= 40 THEN score ELSE -1 END DESC, source) AS BIGINT) AS place FROM (SELECT source, count(*) AS n, round(0.7e0 * avg(CASE WHEN n_chars >= 3000 THEN 1e0 ELSE 0e0 END) + 0.3e0 * count(DISTINCT lang) / 4, 9) AS score FROM {d.t('documents')} GROUP BY source) x",
-    # K1, K2, K3: strict precedence, with the rule that decided
+    # K1: strict precedence, with the rule that decided
     "k1_three_way": lambda d: f"""
         SELECT doc_id, CASE WHEN n_chars < 50 THEN 'off' WHEN {d.matches("lower(text)", "licen[cs]e")} THEN 'on' WHEN {d.matches("text", "[#$%&|]")} THEN 'off' WHEN lang = 'en' THEN 'on' ELSE 'borderline' END AS label,
           CASE WHEN n_chars < 50 THEN 'too short' WHEN {d.matches("lower(text)", "licen[cs]e")} THEN 'core term' WHEN {d.matches("text", "[#$%&|]")} THEN 'exclusion term' WHEN lang = 'en' THEN 'language' ELSE 'no rule' END AS rationale FROM {d.t("documents")}""",
     # K5, K6: a second gate and the hard cases
     "k5_second_gate": lambda d: f"""
         SELECT source, CAST(sum(CASE WHEN {d.matches("lower(text)", "(^| )(the|der|les|los) ")} AND {d.matches("lower(text)", "(^| )(of|und|des|del) ")} THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN n_chars < 100 OR {d.matches("text", "@")} THEN 1 ELSE 0 END) AS BIGINT) AS hard FROM {d.t("documents")} GROUP BY source""",
-    # K7, K8: members and the reason of every exclusion
+    # K7: members and the reason of every exclusion
     "k7_membership": lambda d: f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'low quality' WHEN toxic = 1 THEN 'toxic' ELSE 'kept' END AS reason FROM {d.t('documents')} x LEFT JOIN {d.t('labels')} l ON l.doc_id = x.doc_id) y GROUP BY reason",
 }

@@ -12,7 +12,7 @@ TEMPLATES = {
         SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_type NOT IN ('purchase', 'click') THEN 'rubric' WHEN value < 20 THEN 'scope' WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 THEN 'duplicate' ELSE 'selected' END AS reason FROM {d.t("events")}) x GROUP BY reason""",
     # At-least-once log to exactly-once rows
     "t6_exactly_once": lambda d: f"SELECT user_id, event_type, min({d.us('ts')}) AS first_us, count(*) AS copies FROM {d.t('events')} GROUP BY user_id, event_type",
-    # What of the current set is classified
+    # What of the current set is classified
     "t7_coverage": lambda d: f"SELECT lang, count(*) AS shortlisted, count(l.doc_id) AS classified FROM {d.t('documents')} x LEFT JOIN {d.t('labels')} l ON l.doc_id = x.doc_id GROUP BY lang",
     # Projection times a margin against what remains
     "t10_spend_gate": lambda d: f"SELECT event_type, round(spent, 4) AS spent, spent * 1.2e0 <= 110000 AS allowed FROM (SELECT event_type, sum(value) AS spent FROM {d.t('events')} GROUP BY event_type) x",

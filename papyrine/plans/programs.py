@@ -10,7 +10,6 @@ from papyrine.operators.chunks import section_chunks
 from papyrine.operators.components import connected_components
 from papyrine.operators.kmeans import kmeans
 from papyrine.operators.matching import popularity_matches
-from papyrine.operators.resolve import resolve
 from papyrine.operators.similarity import similar_pairs
 from papyrine.operators.titles import fuzzy_titles
 from papyrine.streaming import events as stream
@@ -36,15 +35,10 @@ def g4_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g3_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.year("l_shipdate").cast("long").alias("graph"), F.col("l_suppkey").alias("a"), (-(F.col("l_partkey") % 211) - 1).alias("b")).distinct()
+    edges = _read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("long").alias("graph"), F.col("l_suppkey").alias("a"), (-(F.col("l_partkey") % 211) - 1).alias("b")).distinct()
     return folds.louvain(edges, "graph")
 
 
-def d10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return resolve(docs.select(F.col("doc_id").alias("id"), F.regexp_extract("text", "^[^.\n]*", 0).alias("title"), (2000 + F.col("doc_id") % 3).alias("year"), F.col("lang").alias("author"), F.col("n_chars").alias("quality")))
-
-
 def d14_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").select("user_id", "event_id", F.col("props"), F.concat("event_type", (F.col("value") % 7).cast("int").cast("string")).alias("title"))
     return folds.first_seen(rows, "user_id", "event_id", ["props", "title"])
@@ -118,7 +112,7 @@ def _says(pattern: str, flag: str = "(?i)") -> str:
     return "coalesce(regexp_matches(text, '" + flag + pattern.replace("'", "''") + "'), false)"
 
 
-QUERIES = {f.__name__: f for f in (j1_similar_pairs, g7_components, g4_kmeans, g3_communities, d10_entities, d14_first_seen, t8_chunks, t12_admission, f18_section_chunks, d11_fuzzy_titles, j20_popularity_matches, v5_enrichment_tail, v10_power, x18_intents, stream_hourly, stream_once, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in (j1_similar_pairs, g7_components, g4_kmeans, g3_communities, d14_first_seen, t8_chunks, t12_admission, f18_section_chunks, d11_fuzzy_titles, j20_popularity_matches, v5_enrichment_tail, v10_power, x18_intents, stream_hourly, stream_once, stream_rate_limit)}
 SQL = {
     "j1_similar_pairs": """
         WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label <> b.label),

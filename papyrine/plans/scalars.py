@@ -1,8 +1,6 @@
 """Scalar functions F1-F37 over documents, pages and events."""
 
 TEMPLATES = {
-    # a title's key without tags, punctuation and case
-    "f1_title_key": lambda d: f"""SELECT page_id, trim({d.rx("lower(" + d.rx(d.extract("html", "<title>([^<]*)</title>", 1), "<[^>]*>|&[a-z]+;", "") + ")", "[^a-z0-9]+", " ")}) AS title_key FROM {d.t("pages")}""",
     # prefixes of an identifier go one after the other
     "f3_identifier": lambda d: f"""SELECT page_id, nullif({d.rx(d.rx(d.rx("lower(trim(url))", "^https?://", ""), "^www[.]", ""), "^doi:", "")}, '') AS identifier FROM {d.t("pages")}""",
     # "Last, First" and "First Last"
@@ -31,23 +29,17 @@ TEMPLATES = {
     "f13_router": lambda d: f"""SELECT doc_id, CASE WHEN {d.matches("lower(text)", "licen[cs]e")} THEN 'licence' WHEN {d.matches("text", "@|[+][0-9]")} THEN 'contact' WHEN {d.matches("lower(text)", "token")} THEN 'secret' ELSE 'general' END AS construct FROM {d.t("documents")}""",
     # sentences with a term of either set
     "f14_sentences": lambda d: f"""SELECT item_id, {d.size(d.split("text", "[.!?]+\\s+"))} AS sentences, {d.size(d.keep_if(d.split("lower(text)", "[.!?]+\\s+"), "s", d.matches("s", "\\b(the|der|la|el)\\b") + " AND " + d.matches("s", "\\b(of|und|de)\\b")))} AS both_sets FROM {d.t("benchmark")}""",
-    # F16: parts between semicolons or line ends with at least three words
-    "f16_splitter": lambda d: f"""SELECT item_id, {d.size(d.keep_if(d.split("text", "[;\\n]+"), "s", d.size(d.all_of("s", "\\S+")) + " >= 3"))} AS atoms FROM {d.t("benchmark")}""",
     "f17_token_estimate": lambda d: f"SELECT doc_id, greatest(1, CAST(floor(n_chars / 3) AS BIGINT)) AS tokens FROM {d.t('documents')}",
     "f19_text_clean": lambda d: f"""SELECT item_id, {d.rx(d.rx("text", "-\\n", ""), "[ \\t]+", " ")} AS clean FROM {d.t("benchmark")}""",
-    # addresses out, cut at a word
-    "f20_redact": lambda d: f"""SELECT doc_id, length({d.rx("text", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "[e-mail]")}) - length(text) AS change, {d.extract("text", "^(.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?.?)", 1)} AS head FROM {d.t("documents")} WHERE {d.matches("text", "@")}""",
     "f21_first_sentence": lambda d: f"""SELECT item_id, concat(upper(left(s, 1)), substr(s, 2)) AS sentence FROM (SELECT item_id, left({d.extract("text", "^([^.]*[.])", 1)}, 160) AS s FROM {d.t("benchmark")}) x""",
     "f22_slug": lambda d: f"""SELECT p_partkey, {d.rx(d.rx("lower(p_name)", "[^a-z0-9]+", "-"), "^-|-$", "")} AS slug, {d.rx("p_type", "[-_]", " ")} AS readable FROM {d.t("part")}""",
     # clamp, saturation, length of a vector
     "f25_norms": lambda d: f"""SELECT vec_id, round(sqrt({d.dot("embedding", "embedding")}), 5) AS norm, round(greatest(-1e0, least(1e0, {d.dot("embedding", "embedding")})), 5) AS clamped, round(vec_id / (vec_id + 8e0), 9) AS saturated FROM {d.t("embeddings")}""",
-    # a number from a text's digest
-    "f26_hash_value": lambda d: f"SELECT item_id, {d.sha('text')} AS digest, substr({d.sha('text')}, 1, 12) AS short_digest FROM {d.t('benchmark')}",
     "f27_pair_fidelity": lambda d: f"""
         SELECT a.doc_id, CASE WHEN a.n_chars >= 3000 AND b.n_chars >= 3000 THEN 1e0 WHEN a.n_chars >= 3000 OR b.n_chars >= 3000 THEN 0.9e0 ELSE 0.8e0 END AS factor FROM {d.t("documents")} a JOIN {d.t("documents")} b ON b.doc_id = a.doc_id + 1""",
     "f28_cost": lambda d: f"SELECT l_orderkey, l_linenumber, round((l_quantity * 1.5e0 + l_extendedprice * 7.5e0) * CASE WHEN l_returnflag = 'N' THEN 0.5e0 ELSE 1e0 END / 1e6, 12) AS cost FROM {d.t('lineitem')}",
     "f29_lookback": lambda d: f"SELECT event_id FROM {d.t('events')} WHERE ts >= TIMESTAMP '2024-01-21 00:00:00' - INTERVAL 10 DAY AND ts <= TIMESTAMP '2024-01-21 00:00:00'",
-    # A strict field of a JSON text, null where it is not there
+    # a strict field of a JSON text, null where it is not there
     "f30_json": lambda d: f"""SELECT event_id, CAST({d.json("props", "k")} AS BIGINT) AS k, CASE WHEN {d.json("props", "k")} IS NULL THEN 'no_field' WHEN {d.json("props", "missing")} IS NULL THEN 'partial' ELSE 'whole' END AS verdict FROM {d.t("events")}""",
     "f31_template": lambda d: f"SELECT item_id, substr({d.sha('replace(' + chr(39) + 'Classify: [text]' + chr(39) + ', ' + chr(39) + '[text]' + chr(39) + ', text)')}, 1, 12) AS prompt_hash FROM {d.t('benchmark')}",
     "f32_url_id": lambda d: f"""SELECT page_id, nullif({d.extract("url", "/([0-9]+)", 1)}, '') AS native_id, {d.extract("url", "^[a-z]+://([^/:]+)", 1)} AS host FROM {d.t("pages")}""",
@@ -61,11 +53,7 @@ TEMPLATES = {
     # A line of CSV, every cell quoted, quotes doubled
     "s15_csv_lines": lambda d: f"""SELECT c_custkey, concat('"', replace(c_name, '"', '""'), '","', coalesce(replace(c_mktsegment, '"', '""'), ''), '"') AS line FROM {d.t("customer")}""",
     # Cite keys with a letter for each further one of the same name and year
-    "s16_cite_keys": lambda d: f"""
-        SELECT o_orderkey, concat('order', yr, CASE WHEN n > 1 THEN concat('-', CAST(rn AS VARCHAR(20))) ELSE '' END) AS cite_key FROM (
-          SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR(10)) AS yr, row_number() OVER (PARTITION BY year(o_orderdate), o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY year(o_orderdate), o_custkey) AS n FROM {d.t("orders")}) x""",
     # A listing by substring, sorted, with a limit
-    "s1_seed_scan": lambda d: f"SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS rn FROM {d.t('part')} WHERE lower(p_name) LIKE '%a%') x WHERE rn <= 50",
     # S3: credits by endpoint
     "s3_credit_ledger": lambda d: f"SELECT event_type AS endpoint, count(*) AS calls, CAST(sum(CASE WHEN value > 50 THEN 10 ELSE 1 END) AS BIGINT) AS credits FROM {d.t('events')} GROUP BY event_type",
     # The latest version of each key; corrupt entries do not count

@@ -1,7 +1,7 @@
 """Windows and ranking W2-W17, and set operations U1-U8."""
 
 TEMPLATES = {
-    # The k best of each row's group, ties by id
+    # The k best of each row's group, ties by id
     "w2_top_per_group": lambda d: f"SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS BIGINT) AS rn FROM {d.t('events')}) x WHERE rn <= 3",
     # Running total and what is left of a budget
     "w5_running_total": lambda d: f"SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS spent, round(100000 - sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS headroom FROM {d.t('events')} WHERE event_type = 'purchase'",
@@ -15,19 +15,17 @@ TEMPLATES = {
           SELECT p_brand, count(*) % 5 AS owed, CAST(min(p_size) AS BIGINT) AS last_served, count(DISTINCT p_type) AS candidates FROM {d.t("part")} GROUP BY p_brand) x""",
     # Equal shares, the remainder to the first
     "w11_equal_split": lambda d: f"SELECT n_name, CAST(floor(107 / n) AS BIGINT) + CASE WHEN rn <= 107 - n * CAST(floor(107 / n) AS BIGINT) THEN 1 ELSE 0 END AS share FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS rn, count(*) OVER () AS n FROM {d.t('nation')}) x",
-    # Precision of the K highest against the K newest
+    # Precision of the K highest against the K newest
     "w12_precision_at_k": lambda d: f"""
         SELECT k, round(avg(CASE WHEN by_score <= k THEN hit END), 6) AS by_score, round(avg(CASE WHEN by_age <= k THEN hit END), 6) AS by_age FROM (
           SELECT CAST(quality AS DOUBLE) AS hit, row_number() OVER (ORDER BY n_chars DESC, x.doc_id) AS by_score, row_number() OVER (ORDER BY x.doc_id DESC) AS by_age FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id) y
         CROSS JOIN (SELECT 10 AS k UNION ALL SELECT 50 UNION ALL SELECT 100) z GROUP BY k""",
-    # So many of each stratum in the order of a digest of id and seed
+    # So many of each stratum in the order of a digest of id and seed
     "w13_stratified_sample": lambda d: f"SELECT doc_id, lang, rn FROM (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY {d.sha('concat(CAST(doc_id AS VARCHAR(20)), ' + chr(39) + '|7' + chr(39) + ')')}, doc_id) AS BIGINT) AS rn FROM {d.t('documents')}) x WHERE rn <= 15",
     "w17_capped_paging": lambda d: f"SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM {d.t('orders')}) x WHERE rn <= 4",
     # Union of sources, distinct and in order
     "u1_union_distinct": lambda d: f"SELECT key FROM (SELECT s_nationkey AS key FROM {d.t('supplier')} UNION SELECT c_nationkey FROM {d.t('customer')}) x",
     # Order-stable union of two lists
-    "u2_stable_union": lambda d: f"""
-        SELECT k, {d.joined("v", ",")} AS items FROM (SELECT DISTINCT l_suppkey AS k, l_returnflag AS v FROM {d.t("lineitem")} UNION SELECT l_suppkey, l_linestatus FROM {d.t("lineitem")}) x GROUP BY k""",
     # Jaccard of the words of neighbouring items
     "u3_jaccard": lambda d: f"""
         WITH s AS (SELECT item_id, {d.distinct(d.all_of("lower(text)", "[a-z]+"))} AS w FROM {d.t("benchmark")})
@@ -41,8 +39,4 @@ TEMPLATES = {
         FROM (SELECT user_id AS k, count(*) AS n FROM {d.t("events")} WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY user_id) a
         FULL OUTER JOIN (SELECT user_id AS k, count(*) AS n FROM {d.t("events")} WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY user_id) b ON a.k = b.k""",
     # U8: the old list must be a prefix of the new one
-    "u8_append_only": lambda d: f"""
-        SELECT count(*) AS old_rows, CAST(sum(CASE WHEN n.event_id IS NULL OR n.event_id <> o.event_id THEN 1 ELSE 0 END) AS BIGINT) AS violations
-        FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM {d.t("events")} WHERE ts < TIMESTAMP '2024-01-15 00:00:00') o
-        LEFT JOIN (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM {d.t("events")}) n ON n.place = o.place""",
 }

@@ -83,7 +83,7 @@ TEMPLATES = {
     # Edges under the names of merged records, without loops and repeats
     "s11_alias_edges": lambda d: f"""
         WITH alias AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept FROM {d.t("documents")} WHERE text IS NOT NULL),
-        e AS (SELECT DISTINCT l_orderkey AS x, l_partkey AS y FROM {d.t("lineitem")} WHERE l_quantity >= 45)
+        e AS (SELECT DISTINCT l_orderkey AS x, l_partkey AS y FROM {d.t("lineitem")})
         SELECT DISTINCT coalesce(a.kept, x) AS x, coalesce(b.kept, y) AS y FROM e LEFT JOIN alias a ON a.doc_id = x LEFT JOIN alias b ON b.doc_id = y WHERE coalesce(a.kept, x) <> coalesce(b.kept, y)""",
     # What a replay of the deduplication reports
     "d12_replay": lambda d: f"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -93,3 +96,34 @@ class _Pages(DataSourceReader):
                     left -= 1
                     yield str(record["id"]), json.dumps(record, sort_keys=True)
             cursor = self._at(answer, "cursor", "meta.next_cursor") if records else None
+
+
+@contextlib.contextmanager
+def local_service(records: list[dict], field: str, failures: int = 0) -> Iterator[str]:
+    """The address of a paged listing on this machine: records by the value of ``field``, the first answers being failures that pass."""
+    lock, left = threading.Lock(), [failures]
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            with lock:
+                left[0] -= 1
+                if left[0] >= 0:
+                    return self.send_error(503)
+            asked = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(self.path).query))
+            own = [r for r in records if r.get(field) == asked.get(field)]
+            at, size = 0 if asked["cursor"] == "*" else int(asked["cursor"]), int(asked["per-page"])
+            following = str(at + size) if at + size < len(own) else None
+            body = json.dumps({"results": own[at : at + size], "meta": {"next_cursor": following}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{server.server_port}/records"
+    finally:
+        server.shutdown()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,19 +33,21 @@ def rate_limited(events: DataFrame, tokens: float, seconds: int = 60) -> DataFra
     """Whether each event of a user fits under ``tokens`` within the last seconds; refused events use none."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, costs = (list(map(float, x)) for x in state.get) if state.exists else ([], [])
+        times, costs = (deque(map(float, x)) for x in state.get) if state.exists else (deque(), deque())
+        used = sum(costs)
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         out = []
         for us, event_id, cost in zip(rows["us"], rows["event_id"], rows["value"]):
             while times and us - times[0] >= seconds * 1e6:
-                times.pop(0)
-                costs.pop(0)
-            ok = sum(costs) + cost <= tokens
+                times.popleft()
+                used -= costs.popleft()
+            ok = used + cost <= tokens
             if ok:
                 times.append(float(us))
                 costs.append(float(cost))
+                used += float(cost)
             out.append((key[0], event_id, ok))
-        state.update((times, costs))
+        state.update((list(times), list(costs)))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
 
     own = events.select("user_id", "event_id", "value", F.unix_micros("ts").alias("us"))

@@ -5,7 +5,6 @@ import random
 from papyrine.operators import folds
 from papyrine.operators.components import connected_components
 from papyrine.operators.kmeans import kmeans
-from papyrine.operators.resolve import resolve
 from papyrine.operators.similarity import similar_pairs
 
 
@@ -77,14 +76,6 @@ def test_kmeans_fixed_centres(spark):
     assert [r["cluster"] for r in kmeans(df, 2).orderBy("id").collect()] == [0, 1, 0, 1]
 
 
-def test_resolve_year_window_and_chain(spark):
-    rows = [(1, "A  title!", 2000, "x", 1), (2, "a title", 2002, "x", 9), (3, "A TITLE", 2004, "x", 2), (4, "a title", 2000, "y", 5), (5, None, 2000, "x", 1), (6, "a title", 2010, "x", 1)]
-    df = spark.createDataFrame(rows, "id long, title string, year int, author string, quality int")
-    assert {r["id"]: r["entity"] for r in resolve(df.repartition(7)).collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
-
-
-
-
 def test_g7_links_through_all_lines_of_an_order(spark, tmp_path):
     from papyrine.plans import programs
 
