@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows of a block; two blocks of 64 doubles a row and the matrix of their products take some 35 MB.
-BLOCK_ROWS = 2_048
+from papyrine.operators.blocks import BLOCK_ROWS, Block, dealt, packed, places, unpacked, usable
 
 #: Matrix of pairs that may match, from the columns ``id, owner, yr, grp`` of both sides (left as a column, right as a row).
 Allowed = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
@@ -59,67 +58,58 @@ def near(left: DataFrame, right: DataFrame, allowed: Allowed, threshold: float,
     maximum over these is the exact nearest one (:func:`nearest`); other readers
     leave those rows out (:func:`reaching`).
 
-    Blocks of rows meet as tiles: no task holds more than two blocks, whatever
-    the distribution of the keys, and a row goes once to each block of the other
-    side. Rows with a null id or a null vector, null or non-finite components
+    Blocks of rows meet as tiles, in which no more than ``TILE_ROWS`` rows of
+    either side are multiplied at once; a block goes once to each place of the other
+    side, as bytes. Rows with a null id or a null vector, null or non-finite components
     match nothing; null owner, year or group read as -1. Repeated rows come back
     as often. Empty sides give an empty table.
     """
-
-    def rows(df: DataFrame, side: int) -> DataFrame:
-        v = F.col("v").cast("array<double>")
-        bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        meta = [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in META]
-        return df.where(F.col("id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(False))).select(*meta, v.alias("v"), F.lit(side).alias("side"))
-
-    a, b = rows(left, 0), rows(right, 1)
-    n_a, n_b = (max(1, -(-x.count() // block_rows)) for x in (a, b))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", "owner"), F.lit(n_own)).cast("int")
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).select("a", "b", "side", *META, "v")
-
-    tiles = dealt(a, "a", n_a, "b", n_b).unionByName(dealt(b, "b", n_b, "a", n_a))
+    a, b = (usable(df.select(*META, "v")) for df in (left, right))
+    n_a, n_b = (places(x.count(), block_rows) for x in (a, b))
+    of = lambda df, side: packed(df, META, block_rows=block_rows).withColumn("side", F.lit(side))
+    tiles = dealt(of(a, 0), "a", n_a, "b", n_b).unionByName(dealt(of(b, 1), "b", n_b, "a", n_a))
 
     def match(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        vectors = table.column("v").combine_chunks()
-        empty = {"i": pa.array([], pa.int64()), "owner": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "best": pa.array([], pa.bool_())}
-        if not len(side) or side.min() == side.max():
-            return pa.table(empty)
-        flat, starts = vectors.flatten().to_numpy(), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
-        sizes = np.diff(starts)
-        meta = {c: table.column(c).to_numpy() for c in META}
-        found: list[list[np.ndarray]] = []
-        for dim in np.unique(sizes):  # vectors of different length have no product
-            x, y = (np.flatnonzero((side == s) & (sizes == dim)) for s in (0, 1))
-            if not len(x) or not len(y):
-                continue
-            y = y[np.lexsort((meta["id"][y], meta["owner"][y]))]
-            span = np.arange(dim)
-            sims = flat[starts[x][:, None] + span] @ flat[starts[y][:, None] + span].T
-            ok = allowed({c: m[x][:, None] for c, m in meta.items()}, {c: m[y][None, :] for c, m in meta.items()})
-            sims = np.where(ok, sims, -np.inf)
-            owners = meta["owner"][y]
-            edges = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
-            if per_owner:
-                tops = np.maximum.reduceat(sims, edges, axis=1)
-                r, k = np.nonzero((tops >= threshold) & (tops > -np.inf))
-                ends = np.r_[edges[1:], len(y)]
-                c = np.fromiter((edges[o] + sims[i, edges[o] : ends[o]].argmax() for i, o in zip(r, k)), np.int64, len(r))
-            else:
-                r, c = np.nonzero((sims >= threshold) & ok)
-            found.append([meta["id"][x[r]], owners[c], meta["id"][y[c]], sims[r, c], np.zeros(len(r), bool)])
-            top = sims.max(axis=1)
-            r = np.flatnonzero(top > -np.inf)
-            ids = np.where(sims[r] == top[r][:, None], meta["id"][y][None, :], np.iinfo(np.int64).max)
-            c = ids.argmin(axis=1) if len(r) else np.zeros(0, np.int64)
-            found.append([meta["id"][x[r]], owners[c], meta["id"][y[c]], top[r], np.ones(len(r), bool)])
-        return pa.table(dict(zip(empty, map(np.concatenate, zip(*found))))) if found else pa.table(empty)
+        found = {"i": [np.zeros(0, np.int64)], "owner": [np.zeros(0, np.int64)], "j": [np.zeros(0, np.int64)], "sim": [np.zeros(0)], "best": [np.zeros(0, bool)]}
+        sides: tuple[list[Block], list[Block]] = ([], [])
+        for r in range(table.num_rows):
+            sides[table.column("side")[r].as_py()].append(unpacked(*(table.column(c)[r].as_py() for c in ("dim", "meta", "data")), META))
+        for x in (part for block in sides[0] for part in block.parts()):
+            for y in (part for block in sides[1] for part in block.parts()):
+                if x.data.shape[1] == y.data.shape[1]:  # vectors of different length have no product
+                    for columns in _tile(x, y, allowed, threshold, per_owner):
+                        for name, column in zip(found, columns):
+                            found[name].append(column)
+        return pa.table({k: np.concatenate(v) for k, v in found.items()})
 
     return tiles.groupBy("a", "b").applyInArrow(match, RESULT)
 
 
+def _tile(x: Block, y: Block, allowed: Allowed, threshold: float, per_owner: bool) -> list[list[np.ndarray]]:
+    """The pairs of one tile that reach the threshold, and every left row's nearest."""
+    order = np.lexsort((y.meta["id"], y.meta["owner"]))
+    right = {c: m[order] for c, m in y.meta.items()}
+    sims = x.data @ y.data[order].T
+    ok = allowed({c: m[:, None] for c, m in x.meta.items()}, {c: m[None, :] for c, m in right.items()})
+    sims = np.where(ok, sims, -np.inf)
+    owners = right["owner"]
+    if per_owner:
+        edges = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        tops = np.maximum.reduceat(sims, edges, axis=1)
+        r, k = np.nonzero((tops >= threshold) & (tops > -np.inf))
+        ends = np.r_[edges[1:], len(owners)]
+        c = np.fromiter((edges[o] + sims[i, edges[o] : ends[o]].argmax() for i, o in zip(r, k)), np.int64, len(r))
+    else:
+        r, c = np.nonzero((sims >= threshold) & ok)
+    out = [[x.meta["id"][r], owners[c], right["id"][c], sims[r, c], np.zeros(len(r), bool)]]
+    top = sims.max(axis=1)
+    r = np.flatnonzero(top > -np.inf)
+    if len(r):
+        c = np.where(sims[r] == top[r][:, None], right["id"][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+        out.append([x.meta["id"][r], owners[c], right["id"][c], top[r], np.ones(len(r), bool)])
+    return out
+
+
 def reaching(found: DataFrame) -> DataFrame:
     """The pairs of :func:`near` that reach the threshold."""
     return found.where("NOT best").drop("best")
