@@ -13,20 +13,19 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.llm import quality
-from papyrine.llm.text import Recent
+from papyrine.llm.text import Recent, held
 
 BUCKETS, EPOCHS, RATE, DECAY = 1 << 15, 60, 0.5, 1e-4
 #: The scorer's sample: so many different texts at most, and so many characters in all of them but the last.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 1 << 25
 #: Words of a generation whose features a worker remembers.
-CACHE = 250_000
+CACHE = 150_000
 KEEP_AT = 0.5
 LABELLERS = ("plain", "symbols", "separators", "shouting", "exclaims", "few_words", "same_lines", "few_distinct", "same_triples")
 
@@ -113,9 +112,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-@lru_cache(1)
 def scorer_of(weights: bytes) -> Scorer:
-    """The scorer of a worker process, whatever the number of its tasks."""
     return Scorer(np.frombuffer(weights))
 
 
@@ -169,7 +166,7 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     packed = weights.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(packed)
+        scorer = held(scorer_of, packed)
         for batch in batches:
             signs, weak, scores = [], [], []
             for t in batch.column(1):

@@ -16,20 +16,19 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from papyrine.llm.text import Recent
+from papyrine.llm.text import Recent, held
 from papyrine.shared import keep
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct pieces of text of a generation whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 
 #: The Unicode characters that the pattern's white space stands for.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,12 +66,6 @@ class Ids:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
-@lru_cache(1)
-def ids_of_worker(data: bytes) -> Ids:
-    """The encoder of a worker process, whatever the number of its tasks."""
-    return Ids(data)
-
-
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than the capacity if there are several."""
     if length <= capacity:
@@ -91,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, seen = ids_of_worker(data), Counter()
+        ids_of, seen = held(Ids, data), Counter()
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:

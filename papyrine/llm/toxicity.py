@@ -18,14 +18,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from papyrine.llm.text import Recent, free_name
+from papyrine.llm.text import Recent, free_name, held
 
 #: Words of a window, words from one to the next, windows that a text counts by.
 WINDOW, STEP, TOP = 6, 3, 3
@@ -41,7 +40,7 @@ ENDS = ".,;:!?\"'()[]*#$%&|"
 #: The training sample: so many labelled texts at most, and so many characters in all of them but the last.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 1 << 25
 #: Words of a generation whose scores a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 TOXIC_AT = 0.7
 
 
@@ -224,9 +223,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights @ x) + self.constant))))
 
 
-@lru_cache(1)
 def scorer_of(bucket: bytes, weights: bytes) -> Scorer:
-    """The scorer of a worker process, whatever the number of its tasks."""
     return Scorer({"bucket": np.frombuffer(bucket, np.float32), "weights": np.frombuffer(weights)})
 
 
@@ -268,7 +265,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     bucket, weights = model["bucket"].tobytes(), model["weights"].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(bucket, weights)
+        scorer = held(scorer_of, bucket, weights)
         for batch in batches:
             found = pa.array([scorer(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])

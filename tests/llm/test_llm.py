@@ -561,6 +561,55 @@ def test_near_duplicate_stage_takes_similarity_of_five_word_shingles(spark):
     assert shingles.near_components(docs.limit(0)).count() == 0
 
 
+def test_keys_of_texts_are_the_same_in_spark(spark):
+    from pyspark.sql import functions as F
+
+    texts = [*TEXTS, LONG, "İI ÀB\u2003c\x1fd  E"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", shingles.key_of(F.col("t")).alias("k")).collect()
+    assert {r["i"]: r["k"] for r in rows} == {i: shingles.text_key(t) for i, t in enumerate(texts)}
+
+
+def test_near_duplicate_stage_of_rows_without_or_with_the_same_id(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:50], "other", *base[51:]])
+    rows = [(5, " ".join(base)), (5, near.upper()), (5, "quite another text of eight or more words here"), (7, near), (None, near), (None, "lost text"), (None, "Lost  text"), (None, "lost text"), (9, None), (8, ""), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "1 AS near_key", "2 AS component").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in got.collect()), key=repr)
+    assert len(kept) == 4 and [k[0] for k in kept].count(5) == 2 and [k[0] for k in kept].count(8) == 1
+    assert (None, ["lost", "text"]) in kept and (5, "quite another text of eight or more words here".split()) in kept
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_toxicity_stage_and_whole_run_on_small_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    toxic = [i % 4 == 0 for i in range(240)]
+    texts = [synthetic(rng, x) for x in toxic]
+    docs = documents(spark, texts + [None, ""], extra=False).where("doc_id IS NOT NULL AND text <> 'a' OR text IS NULL")
+    labels = spark.createDataFrame([(i, 1, int(x)) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    folder = f"file://{tmp_path}"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept = corpus_pipeline.toxicity_filter(spark, docs, folder)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns
+    assert sum(x in ids for x in range(240) if not toxic[x]) >= 174 and sum(x in ids for x in range(240) if toxic[x]) <= 6 and {240, 241} <= ids
+    rows = corpus_pipeline.run(spark, folder).collect()
+    packed = {r["doc_id"] for r in rows}
+    assert packed <= ids and len(packed) >= 160
+    bare = f"{folder}/empty"
+    docs.limit(0).write.parquet(f"{bare}/documents.parquet")
+    labels.limit(0).write.parquet(f"{bare}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), bare).count() == 0
+    assert corpus_pipeline.run(spark, bare).count() == 0
+
+
 def test_near_text_tiles_link_across(spark, monkeypatch):
     monkeypatch.setattr(shingles, "TILE_ROWS", 3)
     base = [f"w{i}" for i in range(120)]
