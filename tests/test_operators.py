@@ -83,3 +83,35 @@ def test_g7_links_through_all_lines_of_an_order(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["node"]: r["component"] for r in programs.g7_components(spark, str(tmp_path)).collect()}
     assert got == {1: -12, 2: -12, -10: -12, -11: -12, -12: -12, 3: -13, -13: -13}
+
+
+def test_tables_of_a_scope_are_swept(spark):
+    from papyrine import shared
+
+    with shared.scope() as made:
+        first = shared.keep(spark.range(3), "first")
+        second = shared.keep(first.selectExpr("id * 2 AS id"), "second")
+        shared.sweep(spark, made, second)
+    assert sorted(r[0] for r in second.collect()) == [0, 2, 4] and len(made) == 1
+    assert not spark._jvm.java.io.File(first.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    from papyrine import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
