@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+#: Items that a fold looks ahead at once.
+_STEP = 512
+
+
 def greedy_chunks(items: DataFrame, key: str, size: str, limit: float, order: str) -> DataFrame:
     """``items`` with ``chunk`` (from 0): in order, a chunk closes when the next item would exceed ``limit``.
 
@@ -17,12 +21,14 @@ def greedy_chunks(items: DataFrame, key: str, size: str, limit: float, order: st
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        sums = np.r_[0.0, np.cumsum(pdf[size].to_numpy(float))]
-        chunk, at, n = np.zeros(len(pdf), np.int64), 0, 0
-        while at < len(pdf):  # a step for each chunk: the last item whose sum still fits
-            end = max(at + 1, int(np.searchsorted(sums, sums[at] + limit, "right")) - 1)
-            chunk[at:end] = n
-            at, n = end, n + 1
+        sizes, chunk = pdf[size].to_numpy(float), np.zeros(len(pdf), np.int64)
+        at, n, used = 0, 0, 0.0
+        while at < len(sizes):  # sums are made in the items' order, some items at once
+            sums = np.cumsum(np.r_[used, sizes[at : at + _STEP]])
+            over = np.flatnonzero((sums[1:] > limit) & (sums[:-1] != 0))
+            end = int(over[0]) if len(over) else len(sums) - 1
+            chunk[at : at + end] = n
+            at, used, n = at + end, 0.0 if len(over) else sums[-1], n + bool(len(over))
         return pdf.assign(chunk=chunk)
 
     return items.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(size).cast("double")).groupBy(key).applyInPandas(fold, schema)
@@ -33,17 +39,14 @@ def admit(calls: DataFrame, key: str, cost: str, cap: float, order: str) -> Data
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        costs = pdf[cost].to_numpy(float)
-        sums = np.r_[0.0, np.cumsum(costs)]
-        admitted, at, refused, rising = np.zeros(len(pdf), bool), 0, 0.0, bool((costs >= 0).all())
-        while at < len(pdf):  # a step for each refusal: up to the first call that goes beyond the cap
-            end = int(np.searchsorted(sums, cap + refused, "right")) - 1 if rising else at
-            end = min(max(end, at), len(pdf))
-            admitted[at:end] = True
-            if end < len(pdf):
-                admitted[end] = sums[end + 1] - refused <= cap
-                refused += 0.0 if admitted[end] else costs[end]
-            at = end + 1
+        costs, admitted = pdf[cost].to_numpy(float), np.zeros(len(pdf), bool)
+        at, spent = 0, 0.0
+        while at < len(costs):  # up to the next call that goes beyond the cap
+            sums = np.cumsum(np.r_[spent, costs[at : at + _STEP]])
+            over = np.flatnonzero(sums[1:] > cap)
+            end = int(over[0]) if len(over) else len(sums) - 1
+            admitted[at : at + end] = True
+            at, spent = at + end + bool(len(over)), sums[end]
         return pdf.assign(admitted=admitted)
 
     return calls.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(cost).cast("double")).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, {cost} double, admitted boolean")

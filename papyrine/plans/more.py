@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from papyrine.functions import text as texts
-from papyrine.operators import folds, near
+from papyrine.operators import folds, near, ranks
 from papyrine.plans import aggregates, dialect, relations
 from papyrine.plans.claims import claims, items
 from papyrine.shared import keep, new_path
@@ -47,6 +47,35 @@ def u8_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("user_id").agg(F.count("*").alias("old_rows"), F.sum((~F.col("event_id").eqNullSafe(F.col("now"))).cast("long")).alias("violations")).withColumn("append_only", F.col("violations") == 0)
 
 
+# --- places and totals ----------------------------------------------------------------------------------------------
+
+
+def p11_tier_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by ladders over a score, its tier, and the place among all."""
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 6)
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "lang", score.alias("score"))
+    tier = F.when(F.col("score") >= 0.60, "high").when(F.col("score") >= 0.35, "medium").otherwise("low")
+    strength = F.when((F.col("lang") == "en") & (F.col("score") >= 0.60), "strong").when(F.col("score") >= 0.35, "likely").otherwise("lead")
+    return ranks.numbered(rows, [F.desc("score"), F.col("doc_id")]).select("doc_id", "score", tier.alias("tier"), strength.alias("strength"), "place")
+
+
+def w5_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What purchases have cost up to each, and what is left of a budget."""
+    rows = _read(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts", "value")
+    spent = ranks.running(rows, [F.col("ts"), F.col("event_id")], "value", "spent")
+    return spent.select("event_id", F.round("spent", 4).alias("spent"), F.round(100000 - F.col("spent"), 4).alias("headroom"))
+
+
+def w12_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of good ones among the K highest and the K newest."""
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "n_chars", F.col("quality").cast("double").alias("hit"))
+    found = []
+    for name, order in (("by_score", [F.desc("n_chars"), F.col("doc_id")]), ("by_age", [F.desc("doc_id")])):
+        top = rows.orderBy(*order).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a hundred rows
+        found.append(top.agg(*(F.round(F.avg(F.when(F.col("place") <= k, F.col("hit"))), 6).alias(str(k)) for k in (10, 50, 100))).select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(str(k)).alias(name)) for k in (10, 50, 100)))).alias("x")).select("x.*"))
+    return found[0].join(found[1], "k")
+
+
 # --- samples and allocation -----------------------------------------------------------------------------------------
 
 
@@ -455,7 +484,7 @@ def s20_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        u2_stable_union, u8_append_only, w10_round_robin, w14_fixed_ratio, w16_seed_cap, x2_review_sample, x8_quota_sample, r2_contradictions, r4_method_transfer, r5_disjoint_bridges, r6_registry, r9_shown_cards, j10_new_pairs,
+        u2_stable_union, u8_append_only, p11_tier_and_rank, w5_running_total, w12_precision_at_k, w10_round_robin, w14_fixed_ratio, w16_seed_cap, x2_review_sample, x8_quota_sample, r2_contradictions, r4_method_transfer, r5_disjoint_bridges, r6_registry, r9_shown_cards, j10_new_pairs,
         v1_freeze, v15_sub_corpus, v3_bootstrap, v4_novelty, v9_paired_difference, v12_precision_baselines, v14_scaling, v16_cost_projection, v17_k_sweep, v18_orphan_distribution,
         f1_title_key, f2_lite_key, f8_terms, f16_splitter, f20_capped, f26_hash_embedding, f33_title_terms, f37_redacted, k3_prelabelled, k8_finalised, t2_widening, t4_batches, s2_rest_listing, s19_body_text, s20_pdf_text,
     )
@@ -642,4 +671,12 @@ SQL |= {
     "s2_rest_listing": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 6 <> 5 QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 3",
     "s19_body_text": r"SELECT item_id, trim(regexp_replace('Methods ' || regexp_replace(text, '[\x00-\x1F]+', ' ', 'g') || ' End of it.', '[ \t\r\n]+', ' ', 'g')) AS body FROM benchmark",
     "s20_pdf_text": "SELECT item_id, regexp_replace(text, '[^ -~]+', ' ', 'g') AS text FROM benchmark",
+    "p11_tier_and_rank": """
+        SELECT doc_id, score, CASE WHEN score >= 0.60 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN lang = 'en' AND score >= 0.60 THEN 'strong' WHEN score >= 0.35 THEN 'likely' ELSE 'lead' END AS strength,
+          row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, lang, round(n_chars / (n_chars + 2e3), 6) AS score FROM documents) x""",
+    "w5_running_total": "SELECT event_id, round(sum(value) OVER w, 4) AS spent, round(100000 - sum(value) OVER w, 4) AS headroom FROM events WHERE event_type = 'purchase' WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "w12_precision_at_k": """
+        SELECT k, round(avg(CASE WHEN by_score <= k THEN hit END), 6) AS by_score, round(avg(CASE WHEN by_age <= k THEN hit END), 6) AS by_age FROM (
+          SELECT CAST(quality AS DOUBLE) AS hit, row_number() OVER (ORDER BY n_chars DESC, x.doc_id) AS by_score, row_number() OVER (ORDER BY x.doc_id DESC) AS by_age FROM documents x JOIN labels l ON l.doc_id = x.doc_id) y
+        CROSS JOIN (VALUES (10), (50), (100)) z(k) GROUP BY k""",
 }

@@ -128,6 +128,33 @@ SQL = {
     "x18_intents": f"""
         SELECT conv_id, turn, {_says(intents.DISTRESS_INTENT)} OR ({_says(intents.FIRST_PERSON)} AND {_says(intents.DISTRESS_WORDS)}) AS distress, {_says(intents.ADVICE)} AS advice,
           {_says(intents.SELF_HARM)} AS self_harm, {_says(intents.SELF_HARM)} OR {_says(intents.SEXUAL)} OR {_says(intents.SLURS)} OR {_says(intents.PERSON_NAME, "")} AS blocked FROM conversations""",
+    "t8_chunks": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, value, n, value AS used, 0::BIGINT AS chunk FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.value, e.n, CASE WHEN r.used + e.value > 200 THEN e.value ELSE r.used + e.value END, r.chunk + CASE WHEN r.used + e.value > 200 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT user_id, event_id, value, chunk FROM r""",
+    "t12_admission": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, value, n, CASE WHEN value <= 1500 THEN value ELSE 0 END AS spent, value <= 1500 AS admitted FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.value, e.n, r.spent + CASE WHEN r.spent + e.value <= 1500 THEN e.value ELSE 0 END, r.spent + e.value <= 1500 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT user_id, event_id, value, admitted FROM r""",
+    "stream_rate_limit": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, value, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, n, value <= 150 AS admitted, CASE WHEN value <= 150 THEN [{'us': us, 'cost': value}] ELSE [] END AS kept FROM e WHERE n = 1
+          UNION ALL SELECT user_id, event_id, n, ok, CASE WHEN ok THEN list_append(live, {'us': us, 'cost': value}) ELSE live END FROM (
+            SELECT e.user_id, e.event_id, e.n, e.us, e.value, list_filter(r.kept, lambda x: e.us - x.us < 86400000000) AS live, coalesce(list_sum(list_transform(list_filter(r.kept, lambda x: e.us - x.us < 86400000000), lambda x: x.cost)), 0) + e.value <= 150 AS ok
+            FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) z)
+        SELECT user_id, event_id, admitted FROM r""",
+    "d14_first_seen": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, props, event_type || CAST(CAST(trunc(value % 7) AS INTEGER) AS VARCHAR) AS title, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, props, title, n, true AS kept, list_filter(['p' || props, 't' || title], lambda x: x IS NOT NULL) AS seen FROM e WHERE n = 1
+          UNION ALL SELECT user_id, event_id, props, title, n, NOT list_has_any(seen, own), CASE WHEN list_has_any(seen, own) THEN seen ELSE list_concat(seen, own) END FROM (
+            SELECT e.user_id, e.event_id, e.props, e.title, e.n, r.seen, list_filter(['p' || e.props, 't' || e.title], lambda x: x IS NOT NULL) AS own FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) z)
+        SELECT user_id, event_id, props, title FROM r WHERE kept""",
+    "g7_components": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_orderkey <> -l_partkey), m AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(step, node, label) AS (SELECT 0, a, least(a, min(b)) FROM m GROUP BY a UNION ALL SELECT any_value(r.step) + 1, x.node, least(any_value(x.label), min(r.label)) FROM r JOIN m ON m.b = r.node JOIN r x ON x.node = m.a WHERE r.step < 24 GROUP BY x.node)
+        SELECT node, label AS component FROM r WHERE step = 24""",
     "stream_hourly": "SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_once": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }

@@ -3,8 +3,6 @@
 TEMPLATES = {
     # The k best of each row's group, ties by id
     "w2_top_per_group": lambda d: f"SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS BIGINT) AS rn FROM {d.t('events')}) x WHERE rn <= 3",
-    # Running total and what is left of a budget
-    "w5_running_total": lambda d: f"SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS spent, round(100000 - sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS headroom FROM {d.t('events')} WHERE event_type = 'purchase'",
     # The sum over the last 60 minutes, the lower bound exclusive
     "w6_rolling_sum": lambda d: f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY {d.us('ts')} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 4) AS rolling FROM {d.t('events')}",
     "w7_year_pairs": lambda d: f"SELECT yr, lead(yr) OVER (ORDER BY yr) AS next_year, n, lead(n) OVER (ORDER BY yr) - n AS change FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, count(*) AS n FROM {d.t('orders')} GROUP BY year(o_orderdate)) x",
@@ -15,11 +13,6 @@ TEMPLATES = {
           SELECT p_brand, count(*) % 5 AS owed, CAST(min(p_size) AS BIGINT) AS last_served, count(DISTINCT p_type) AS candidates FROM {d.t("part")} GROUP BY p_brand) x""",
     # Equal shares, the remainder to the first
     "w11_equal_split": lambda d: f"SELECT n_name, CAST(floor(107 / n) AS BIGINT) + CASE WHEN rn <= 107 - n * CAST(floor(107 / n) AS BIGINT) THEN 1 ELSE 0 END AS share FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS rn, count(*) OVER () AS n FROM {d.t('nation')}) x",
-    # Precision of the K highest against the K newest
-    "w12_precision_at_k": lambda d: f"""
-        SELECT k, round(avg(CASE WHEN by_score <= k THEN hit END), 6) AS by_score, round(avg(CASE WHEN by_age <= k THEN hit END), 6) AS by_age FROM (
-          SELECT CAST(quality AS DOUBLE) AS hit, row_number() OVER (ORDER BY n_chars DESC, x.doc_id) AS by_score, row_number() OVER (ORDER BY x.doc_id DESC) AS by_age FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id) y
-        CROSS JOIN (SELECT 10 AS k UNION ALL SELECT 50 UNION ALL SELECT 100) z GROUP BY k""",
     # So many of each stratum in the order of a digest of id and seed
     "w13_stratified_sample": lambda d: f"SELECT doc_id, lang, rn FROM (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY {d.sha('concat(CAST(doc_id AS VARCHAR(20)), ' + chr(39) + '|7' + chr(39) + ')')}, doc_id) AS BIGINT) AS rn FROM {d.t('documents')}) x WHERE rn <= 15",
     "w17_capped_paging": lambda d: f"SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM {d.t('orders')}) x WHERE rn <= 4",
