@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Rows of a query block and of a shard at most, and lists that one step of the tree merges.
 QUERY_ROWS, SHARD_ROWS, FAN_IN = 2_048, 8_192, 8
+#: Vectors whose number of components times their largest square goes beyond this have no products that fit 64 bits for certain.
+LARGEST = 2.0**62
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -49,15 +51,13 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of vectors of whole numbers, as int64."""
+    """Exact inner products of vectors of whole numbers, as int64; they must fit (see :data:`LARGEST`)."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if most < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
         return (q @ c.T).astype(np.int64)
-    if most < 2**62:
-        return q.astype(np.int64) @ c.astype(np.int64).T
-    raise ValueError("inner products go beyond 64 bits")
+    return q.astype(np.int64) @ c.astype(np.int64).T
 
 
 def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
@@ -90,13 +90,15 @@ def top_k(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector
     """``query_id, rank, vec_id, score``: the k best of all other rows for each row where ``is_query`` holds.
 
     Vectors hold whole numbers as doubles. Null ids, null vectors and vectors
-    with a null, NaN or infinite component take no part; vectors of different
+    with a null, NaN or infinite component take no part, nor do those beyond
+    ``LARGEST``, whose products a long may not hold; vectors of different
     lengths are not compared; the pair of an id and a score counts once, so
     that repeated rows do not fill the lists. Ties go to the smaller id. Fewer
     candidates give fewer ranks; an empty table gives an empty table.
     """
     good = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     good = good.where("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
+    good = good.where(F.size("v") * F.pow(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)), F.lit(2)) < LARGEST)
     # A shard goes to one of ``salts`` places, a block of queries to each of them. The places grow with the
     # rows, so that each holds a few shards.
     salts = max(8, -(-rows.count() // shard_rows))

@@ -108,7 +108,7 @@ def test_shards_and_hot_fingerprints_change_nothing(spark, monkeypatch):
 def test_top_k_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(90)]
-    rows += [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [1.0, float("nan"), 0.0, 0.0]), (None, [1.0] * 4), rows[5], (93, [float("inf")] * 4)]
+    rows += [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [1.0, float("nan"), 0.0, 0.0]), (None, [1.0] * 4), rows[5], (93, [float("inf")] * 4), (94, [2.0**40, 0.0, 0.0, 0.0]), (100, [-(2.0**62)] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5).selectExpr("*", "1 AS salt", "2 AS shard")
     got = {}
     for r in topk.top_k(df, df["vec_id"] % 20 == 0, 7, query_rows=3, shard_rows=11).collect():
