@@ -115,3 +115,21 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+def test_components_of_edges_that_differ_each_time_they_are_made(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    groups = spark.range(0, 400, 1, 8).select((F.col("id") % 40).alias("g"), F.col("id").alias("node"))
+
+    def star(table: pa.Table) -> pa.Table:  # any star connects a group; which one is drawn anew
+        import random
+
+        nodes = table.column("node").to_pylist()
+        random.SystemRandom().shuffle(nodes)
+        return pa.table({"src": [nodes[0]] * (len(nodes) - 1), "dst": nodes[1:]})
+
+    edges = groups.groupBy("g").applyInArrow(star, "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {n: n % 40 for n in range(400)}
