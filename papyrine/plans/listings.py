@@ -14,12 +14,13 @@ TEMPLATES = {
         SELECT o_orderkey, yr, CAST(row_number() OVER (ORDER BY coalesce(yr, 0) DESC, o_orderkey) AS BIGINT) AS place
         FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS yr FROM {d.t("orders")} WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' ORDER BY coalesce(CAST(year(o_orderdate) AS BIGINT), 0) DESC, o_orderkey LIMIT 100) x""",
     "p4_by_type": lambda d: f"SELECT event_id, user_id, value FROM {d.t('events')} WHERE event_type = 'purchase'",
-    # P5: a parent with counts and joined children of two collections
+    # P5: a parent with counts of two collections and the first 25 children
     "p5_detail_document": lambda d: f"""
-        SELECT c.c_custkey, c.c_name, n.n_name, coalesce(o.orders, 0) AS orders, coalesce(o.keys, '') AS order_keys, coalesce(o.total, 0) AS total
+        SELECT c.c_custkey, c.c_name, n.n_name, coalesce(o.orders, 0) AS orders, coalesce(k.keys, '') AS order_keys, coalesce(o.total, 0) AS total
         FROM {d.t("customer")} c LEFT JOIN {d.t("nation")} n ON n.n_nationkey = c.c_nationkey
-        LEFT JOIN (SELECT o_custkey, count(*) AS orders, {d.joined("CAST(o_orderkey AS VARCHAR(20))", ",")} AS keys, round(sum(o_totalprice), 2) AS total FROM {d.t("orders")} GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey""",
-    # Own-work filter, visibility with a default verdict, full text, exclusions by flag
+        LEFT JOIN (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM {d.t("orders")} GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
+        LEFT JOIN (SELECT o_custkey, {d.joined("CAST(o_orderkey AS VARCHAR(20))", ",")} AS keys FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM {d.t("orders")}) x WHERE rn <= 25 GROUP BY o_custkey) k ON k.o_custkey = c.c_custkey""",
+    # Own-work filter, visibility with a default verdict, full text, exclusions by flag
     "p6_visible_own_work": lambda d: f"""
         SELECT x.doc_id, CASE WHEN n_chars >= 3000 THEN 'fulltext' ELSE 'abstract' END AS input_source
         FROM {d.t("documents")} x LEFT JOIN (SELECT doc_id, CASE WHEN min(quality) = 0 THEN 'artifact' ELSE 'genuine' END AS verdict FROM {d.t("labels")} GROUP BY doc_id) l ON l.doc_id = x.doc_id

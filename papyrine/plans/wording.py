@@ -97,7 +97,9 @@ TEMPLATES = {
           CAST(row_number() OVER (PARTITION BY kind ORDER BY round(score * confidence, 6) DESC, id) AS BIGINT) AS place FROM found""",
     # The fifteen best leads with a context string
     "r11_lead_shortlist": lambda d: f"""
-        SELECT c_custkey, c_name AS lead, {d.joined("o_orderpriority", " | ")} AS context, count(*) AS n FROM {d.t("customer")} JOIN {d.t("orders")} ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY n DESC, c_custkey LIMIT 15""",
+        WITH best AS (SELECT o_custkey, count(*) AS n FROM {d.t("orders")} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 15),
+        said AS (SELECT DISTINCT b.o_custkey, o_orderpriority FROM best b JOIN {d.t("orders")} o ON o.o_custkey = b.o_custkey)
+        SELECT c_custkey, c_name AS lead, context, n FROM best JOIN {d.t("customer")} ON c_custkey = best.o_custkey JOIN (SELECT o_custkey, {d.joined("o_orderpriority", " | ")} AS context FROM said GROUP BY o_custkey) s ON s.o_custkey = best.o_custkey""",
     # The verdict on a score that is measured with an interval
     "v11_verdicts": lambda d: f"""
         WITH m AS (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positive, avg(CAST(quality AS DOUBLE)) AS mean FROM {d.t("documents")} x JOIN {d.t("labels")} l ON l.doc_id = x.doc_id GROUP BY lang),
