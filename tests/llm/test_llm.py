@@ -575,7 +575,7 @@ def test_near_duplicate_stage_of_rows_without_or_with_the_same_id(spark):
     base = [f"w{i}" for i in range(60)]
     near = " ".join([*base[:50], "other", *base[51:]])
     rows = [(5, " ".join(base)), (5, near.upper()), (5, "quite another text of eight or more words here"), (7, near), (None, near), (None, "lost text"), (None, "Lost  text"), (None, "lost text"), (9, None), (8, ""), (9, " ")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "1 AS near_key", "2 AS component").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "1 AS near_key", "2 AS component", "3 AS id", "4 AS key", "5 AS first_id", "6 AS Near_ID").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     kept = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in got.collect()), key=repr)
