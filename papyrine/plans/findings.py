@@ -17,9 +17,14 @@ TEMPLATES = {
           round(greatest(0e0, least(1e0, 0.30e0 + 0.08e0 * (n - 3) + 0.25e0 * full_share)), 6) AS confidence FROM a JOIN b ON b.category = a.category)
         SELECT category, n, methods, score, confidence, CASE WHEN confidence >= 0.60 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS tier,
           CAST(row_number() OVER (ORDER BY round(score * confidence, 6) DESC, category) AS BIGINT) AS place FROM s""",
-    # Cluster count from the size; violations of what a result must have
+    # The number of clusters for a collection
+    "r7_cluster_count": lambda d: f"SELECT source, count(*) AS n, CAST(greatest(2, round(sqrt(count(*)))) AS BIGINT) AS clusters FROM {d.t('documents')} GROUP BY source",
+    # Results without support or without a trail, and those that few independent papers support
     "r10_validity_audit": lambda d: f"""
-        SELECT source, count(*) AS n, CAST(greatest(2, round(sqrt(count(*)))) AS BIGINT) AS clusters, CAST(sum(CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_text, max(n_chars) < 300 AS weak FROM {d.t("documents")} GROUP BY source""",
+        WITH support AS (SELECT l_partkey AS result, count(DISTINCT l_orderkey) AS papers, count(DISTINCT l_suppkey) AS independent FROM {d.t("lineitem")} WHERE l_returnflag = 'R' AND l_discount >= 0.08 GROUP BY l_partkey),
+        trail AS (SELECT l_partkey AS result, count(*) AS steps FROM {d.t("lineitem")} WHERE l_returnflag = 'A' AND l_discount < 0.03 GROUP BY l_partkey)
+        SELECT p_partkey AS result, coalesce(papers, 0) AS papers, coalesce(steps, 0) AS steps, CASE WHEN papers IS NULL AND steps IS NULL THEN 'no support, no trail' WHEN papers IS NULL THEN 'no support' WHEN steps IS NULL THEN 'no trail' ELSE 'valid' END AS verdict, coalesce(independent, 0) < 3 AS weak
+        FROM {d.t("part")} LEFT JOIN support s ON s.result = p_partkey LEFT JOIN trail t ON t.result = p_partkey""",
     # Phrases that one corpus has and others do not
     "i17_distinctive": lambda d: f"""
         WITH t AS (SELECT lang, {d.explode(d.distinct(_TOKENS(d, "text")))} AS term FROM {d.t("documents")}), n AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM {d.t("documents")} GROUP BY lang),
