@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from papyrine.llm.text import Recent, held
+from papyrine.llm.text import Recent
 from papyrine.shared import keep
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct pieces of text of a generation whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 150_000
 
 #: The Unicode characters that the pattern's white space stands for.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, seen = held(Ids, data), Counter()
+        ids_of, seen = Ids(data), Counter()
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:

@@ -27,23 +27,6 @@ class Recent(dict):
         return value
 
 
-_HELD: dict[tuple, object] = {}
-
-
-def held(make, *args):
-    """What ``make`` gives for these arguments: one object in a worker process, whatever the number of its tasks, until another is asked for."""
-    key = (make.__module__, make.__qualname__, args)
-    if key not in _HELD:
-        release()
-        _HELD[key] = make(*args)
-    return _HELD[key]
-
-
-def release() -> None:
-    """Let go of what :func:`held` keeps, for tasks that need the memory for something else."""
-    _HELD.clear()
-
-
 #: The white space that separates words, for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
