@@ -112,6 +112,14 @@ def _says(pattern: str, flag: str = "(?i)") -> str:
     return "coalesce(regexp_matches(text, '" + flag + pattern.replace("'", "''") + "'), false)"
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    steps = [f"p AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cl, v FROM (SELECT * FROM p ORDER BY id LIMIT {k}) x)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT id, any_value(v) AS v, arg_min(cl, (d, cl)) AS cl FROM (SELECT p.id, p.v, c.cl, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p CROSS JOIN c{i} c) x GROUP BY id)")
+        steps.append(f"m{i} AS (SELECT cl, list(x ORDER BY pos) AS v FROM (SELECT cl, pos, avg(x) AS x FROM (SELECT cl, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) y GROUP BY cl, pos) z GROUP BY cl), c{i + 1} AS MATERIALIZED (SELECT c{i}.cl, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.cl = c{i}.cl)")
+    return f"WITH {', '.join(steps)} SELECT id, CAST(cl AS BIGINT) AS cluster FROM a{rounds - 1}"
+
+
 QUERIES = {f.__name__: f for f in (j1_similar_pairs, g7_components, g4_kmeans, g3_communities, d14_first_seen, t8_chunks, t12_admission, f18_section_chunks, d11_fuzzy_titles, j20_popularity_matches, v5_enrichment_tail, v10_power, x18_intents, stream_hourly, stream_once, stream_rate_limit)}
 SQL = {
     "j1_similar_pairs": """
@@ -128,6 +136,7 @@ SQL = {
     "x18_intents": f"""
         SELECT conv_id, turn, {_says(intents.DISTRESS_INTENT)} OR ({_says(intents.FIRST_PERSON)} AND {_says(intents.DISTRESS_WORDS)}) AS distress, {_says(intents.ADVICE)} AS advice,
           {_says(intents.SELF_HARM)} AS self_harm, {_says(intents.SELF_HARM)} OR {_says(intents.SEXUAL)} OR {_says(intents.SLURS)} OR {_says(intents.PERSON_NAME, "")} AS blocked FROM conversations""",
+    "g4_kmeans": _kmeans_sql(8, 3),
     "t8_chunks": """
         WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
         r AS (SELECT user_id, event_id, value, n, value AS used, 0::BIGINT AS chunk FROM e WHERE n = 1
