@@ -129,13 +129,14 @@ NOTICE_RULES = (
 _LINE = r"[ \t]*\r?\n[ \t]*(?:(?:[*#;]+|//+|--)[ \t]+)?"
 _GOES_ON = "(?i:the|of|under|or|and|gnu|to|by|in|with|version|general|public|lesser|affero|mozilla|creative|apache|mit|bsd|isc)"
 _ANY = r"[^\x20\x09-\x0D]"
-#: Ends of lines inside a sentence, between what goes before and after them: the next line goes on in lower case, or this one
-#: ends with a comma or a word that needs another, or is as long as wrapped prose and ends without a mark.
+#: Ends of lines inside a sentence, what stands for them, and how often they are looked for: the next line goes on in lower case, or this one
+#: ends with a comma or a word that needs another, or is as long as wrapped prose and ends without a mark. A line of one
+#: character ends one match and begins the next, which takes a second look; long lines are joined two by two, so that six looks join 64 of them.
 WRAPS = (
-    rf"([A-Za-z0-9,)\"'/]){_LINE}([a-z(])",
-    rf"(,){_LINE}({_ANY})",
-    rf"(^{_GOES_ON}|[^A-Za-z0-9_]{_GOES_ON}){_LINE}({_ANY})",
-    rf"([^\r\n]{{48}}[A-Za-z0-9)\"']){_LINE}([A-Za-z\"'(])",
+    (rf"([A-Za-z0-9,)\"'/]){_LINE}([a-z(])", r"\1 \2", 2),
+    (rf"(,){_LINE}({_ANY})", r"\1 \2", 2),
+    (rf"(^{_GOES_ON}|[^A-Za-z0-9_]{_GOES_ON}){_LINE}({_ANY})", r"\1 \2", 2),
+    (rf"(^|[\r\n])([^\r\n]{{48,}}[A-Za-z0-9)\"']){_LINE}([A-Za-z\"'(])", r"\1\2 \3", 6),
 )
 SPDX_COLON = r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*"
 SENTENCE_END = r"[.;:!?]+[ \t\r\n]+|[.;:!?]+$|[\r\n]+"
@@ -181,8 +182,9 @@ def sentence_ids(text: Column) -> Column:
 
     def body(raw: Column) -> Column:
         joined = F.regexp_replace(raw, SPDX_COLON, "$1 ")
-        for pattern in WRAPS:  # twice, as a line of one character ends one match and begins the next
-            joined = F.regexp_replace(F.regexp_replace(joined, pattern, "$1 $2"), pattern, "$1 $2")
+        for pattern, by, looks in WRAPS:
+            for _ in range(looks):
+                joined = F.regexp_replace(joined, pattern, by.replace("\\", "$"))
         lowered = F.lower(joined)
         plain = F.transform(F.split(lowered, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+]+", " ")))
         return F.flatten(F.transform(F.filter(plain, lambda s: _maybe(s)), identify))
@@ -233,8 +235,9 @@ def scan_sql() -> str:
     maybe = lambda x, keywords: "(" + " OR ".join(f"contains({x}, {quote(k)})" for k in keywords) + ")"
     first = lambda x, rules: "CASE " + " ".join(f"WHEN {has(x, p)} THEN {quote(n)}" for n, p in rules) + " END"
     joined = swap("text", SPDX_COLON, "\\1 ")
-    for pattern in WRAPS:
-        joined = swap(swap(joined, pattern, "\\1 \\2"), pattern, "\\1 \\2")
+    for pattern, by, looks in WRAPS:
+        for _ in range(looks):
+            joined = swap(joined, pattern, by)
     names = []
     for family in FAMILIES:
         name = first(swap("s", OTHER_GPL, "") if family is GPL_FAMILY else "s", family)

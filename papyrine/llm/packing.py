@@ -12,7 +12,9 @@ pieces of their length.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +30,20 @@ from papyrine.shared import keep
 CAPACITY = 2048
 END_ID = 0
 #: Distinct pieces of text of a generation whose ids a worker remembers.
-CACHE = 150_000
+CACHE = 250_000
 
 #: The Unicode characters that the pattern's white space stands for.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit numbers, by a tokenizer file of byte-level BPE.
 
@@ -57,12 +67,12 @@ class Ids:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-        self.pieces = Recent(lambda piece: np.array(encode(piece), "<u4").tobytes(), CACHE)
+        self.pieces = Recent(lambda piece: packed(encode(piece)), CACHE)
         self.split = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return packed(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
