@@ -39,6 +39,8 @@ class Spark:
     dot = staticmethod(lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)")
     days = staticmethod(lambda a, b: f"datediff(CAST({a} AS DATE), CAST({b} AS DATE))")
     array = staticmethod(lambda *x: f"array({', '.join(x)})")
+    # Half away from zero of the binary product, as DuckDB has it; Spark's round() takes the decimal digits that are printed.
+    round = staticmethod(lambda x, n: f"(CASE WHEN abs(({x}) * 1e{n}) < 4503599627370496e0 THEN signum(({x}) * 1e{n}) * (floor(abs(({x}) * 1e{n})) + CASE WHEN abs(({x}) * 1e{n}) - floor(abs(({x}) * 1e{n})) >= 0.5e0 THEN 1 ELSE 0 END) / 1e{n} ELSE {x} END)")
 
 
 class Duck:
@@ -68,6 +70,7 @@ class Duck:
     dot = staticmethod(lambda a, b: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))")
     days = staticmethod(lambda a, b: f"date_diff('day', CAST({b} AS DATE), CAST({a} AS DATE))")
     array = staticmethod(lambda *x: f"[{', '.join(x)}]")
+    round = staticmethod(lambda x, n: f"round({x}, {n})")
 
 
 def _escaped(pattern: str) -> str:

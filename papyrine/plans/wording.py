@@ -93,8 +93,8 @@ TEMPLATES = {
         WITH found AS (
           SELECT 'supplier' AS kind, s_suppkey AS id, least(1e0, greatest(0e0, CAST(s_acctbal AS DOUBLE) / 10000)) AS score, 0.5e0 AS confidence FROM {d.t("supplier")}
           UNION ALL SELECT 'part', p_partkey, CAST(p_size AS DOUBLE) / 50, CASE WHEN p_type = 'PROMO' THEN 0.7e0 ELSE 0.3e0 END FROM {d.t("part")})
-        SELECT kind, id, round(score * confidence, 6) AS trust, CASE WHEN confidence >= 0.60 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN score < 0.1 THEN 'thin' END AS caveat,
-          CAST(row_number() OVER (PARTITION BY kind ORDER BY round(score * confidence, 6) DESC, id) AS BIGINT) AS place FROM found""",
+        SELECT kind, id, {d.round("score * confidence", 6)} AS trust, CASE WHEN confidence >= 0.60 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN score < 0.1 THEN 'thin' END AS caveat,
+          CAST(row_number() OVER (PARTITION BY kind ORDER BY {d.round("score * confidence", 6)} DESC, id) AS BIGINT) AS place FROM found""",
     # The fifteen best leads with a context string
     "r11_lead_shortlist": lambda d: f"""
         WITH best AS (SELECT o_custkey, count(*) AS n FROM {d.t("orders")} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 15),
