@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,17 +32,23 @@ def once(events: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame
 
 
 def rate_limited(events: DataFrame, tokens: float, seconds: int = 60) -> DataFrame:
-    """Whether each event of a user fits under ``tokens`` within the last seconds; refused events use none."""
+    """Whether each event of a user fits under ``tokens`` within the last seconds; refused events use none.
+
+    What is used is always the sum of the live costs from the oldest on: a cost that is
+    taken off a running sum leaves its rounding error, which decides where a sum meets ``tokens`` exactly.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times, costs = (deque(map(float, x)) for x in state.get) if state.exists else (deque(), deque())
-        used = sum(costs)
+        used = reduce(add, costs, 0.0)  # sum() would compensate
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         out = []
         for us, event_id, cost in zip(rows["us"], rows["event_id"], rows["value"]):
-            while times and us - times[0] >= seconds * 1e6:
-                times.popleft()
-                used -= costs.popleft()
+            if times and us - times[0] >= seconds * 1e6:
+                while times and us - times[0] >= seconds * 1e6:
+                    times.popleft()
+                    costs.popleft()
+                used = reduce(add, costs, 0.0)
             ok = used + cost <= tokens
             if ok:
                 times.append(float(us))
