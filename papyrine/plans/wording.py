@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from papyrine.functions import wording
+from papyrine.operators import terms
 from papyrine.plans import dialect
 from papyrine.shared import new_path
 
@@ -68,6 +69,11 @@ def s14_labels_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, quality int, toxic int").option("header", True).csv(path).groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
+def w3_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best words and, apart, the best pairs of adjacent words of each document, see :func:`terms.top_terms`."""
+    return terms.top_terms(_read(spark, sf_dir, "documents"))
+
+
 TEMPLATES = {
     # The best words and, apart, the best pairs of adjacent words of each document
     "w3_top_terms": lambda d: f"""
@@ -165,7 +171,7 @@ def _pair_title_sql() -> str:
 _SYNONYM_SQL = "CASE w " + " ".join(f"WHEN '{w}' THEN {list(own)!r}" for w, own in SYNONYMS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
 
 QUERIES, SQL = dialect.queries(TEMPLATES)
-QUERIES |= {f.__name__: f for f in (f10_synonyms, f15_co_occurrence, f23_latex, f34_disagreements, s6_multi_source, s14_labels_csv)}
+QUERIES |= {f.__name__: f for f in (f10_synonyms, f15_co_occurrence, f23_latex, f34_disagreements, s6_multi_source, s14_labels_csv, w3_top_terms)}
 SQL |= {
     "f10_synonyms": f"SELECT item_id, array_to_string(list_concat(w, flatten(list_transform(w, lambda w: {_SYNONYM_SQL}))), ' ') AS expanded FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) x",
     "f15_co_occurrence": _near_sql(),
