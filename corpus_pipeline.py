@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: that with the smallest doc_id, see :func:`shingles.one_of_each`.
 
     Near are texts whose sets of five-word shingles have a Jaccard similarity of
-    0.8 or more; a group is what such pairs connect. Null and empty texts are one group; an empty table stays empty.
+    0.8 or more; a group is what such pairs connect. Pairs come from the fingerprints' vantage-point trees, then from bands. Null and empty texts are one group; an empty table stays empty.
     """
     return shingles.one_of_each(docs)
 

@@ -1,11 +1,13 @@
-"""Near-duplicate texts: exact Jaccard similarity of word shingles, for all pairs that share a MinHash band.
-
-Texts with the same words are one text. Each has 128 min-hashes of its set of
-shingles, in 32 bands of 4; a pair of similarity s shares no band with
-probability (1 - s^4)^32, less than 1e-7 from 0.8 on. Texts that share a band meet
-in one task, which compares their whole sets: bands only propose, so that
-texts under the threshold are never linked by chance. Bands with the same
-members are compared once.
+"""Near-duplicate texts: SimHash fingerprints near to each other by vantage-point trees, then exact Jaccard similarity of word shingles.
+
+Texts with the same words are one text. The operator of :mod:`papyrine.llm.simhash`
+finds the components of their fingerprints; texts of a component meet in one task, which compares
+their whole sets, and those that are similar are a class. Fingerprints of texts of similarity 0.8
+differ in more bits than the trees' radius as well. So each text has 128 min-hashes of its set of
+shingles, in 32 bands of 4, by which classes meet that the trees left apart: a pair of similarity s shares no band with
+probability (1 - s^4)^32, less than 1e-7 from 0.8 on. Where a band has texts of one
+class only nothing is compared, bands with the same members are compared once, and within a band texts of a class are not compared
+with each other. Trees and bands only propose, so that texts under the threshold are never linked by chance.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from papyrine.llm import simhash
 from papyrine.operators.components import connected_components
 from papyrine.llm.text import free_name, words
 from papyrine.shared import drop, keep
@@ -44,8 +47,8 @@ def key_of(text: Column) -> Column:
     return F.xxhash64(F.array_join(words(lowered), " "))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit digests of a text's shingles; one of all its words if they are fewer, none without a word."""
+def digests(text: str | None) -> np.ndarray:
+    """64-bit digests of a text's shingles, repeats included; one of all its words if they are fewer, none without a word."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -55,7 +58,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())])
-    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct digests of a text's shingles."""
+    return np.unique(digests(text))
 
 
 def band_keys(own: np.ndarray) -> list[int]:
@@ -71,11 +79,12 @@ def band_keys(own: np.ndarray) -> list[int]:
     return np.array(found, np.uint64).view(np.int64).tolist()
 
 
-def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], classes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between the indices of sets whose components are those of all pairs of similarity ``SIMILARITY`` or more.
 
     A set is compared with those that nothing has reached yet, all at once, so
     that a group of n sets that are near to one another costs about n comparisons.
+    Sets of one class count as linked already and get no link for it.
     """
     if not sets:
         return []
@@ -89,6 +98,11 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             i = todo.pop()
+            if classes is not None:
+                known = classes[left] == classes[i]
+                todo, left = todo + left[known].tolist(), left[~known]
+                if not len(left):
+                    break
             own = flat[starts[i] : starts[i] + sizes[i]]
             some = sizes[left]
             at = np.repeat(starts[left] - (np.cumsum(some) - some), some) + np.arange(some.sum())
@@ -102,12 +116,29 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def near_links(distinct: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links ``src, dst`` between the keys of near texts; ``distinct`` has ``key, bands, first_id``, is read often and should be a written table."""
-    banded = distinct.select("key", F.explode("bands").alias("band")).repartition("band")
-    met = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("key").alias("x"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
+def tree_groups(distinct: DataFrame) -> DataFrame:
+    """``band, n, key, class`` of the texts whose fingerprints the vantage-point trees put into one component; each text is a class."""
+    values = keep(distinct.select("fp").distinct(), "fingerprints")
+    comps = connected_components(simhash.near_links(values)).select(F.col("node").alias("fp"), "component")
+    drop(distinct.sparkSession, values)
+    placed = distinct.select("key", "fp").join(comps, "fp", "left").select("key", F.coalesce("component", "fp").alias("band"))
+    return placed.join(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band").select("band", "n", "key", F.col("key").alias("class"))
+
+
+def band_groups(distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """``band, n, key, class`` of the texts that share a band with one of another class; one of the bands with the same members."""
+    classed = distinct.select("key", "bands").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    banded = classed.select("key", "class", F.explode("bands").alias("band")).repartition("band")
+    met = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("key").alias("x"), F.min("key").alias("lo"), F.max("key").alias("hi"), (F.min("class") < F.max("class")).alias("several")).where("several")
     chosen = met.groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("band")).select("band", "n")
-    members = keep(banded.join(chosen, "band").select("band", "n", "key"), "members")
+    return banded.join(chosen, "band").select("band", "n", "key", "class")
+
+
+def near_links(members: DataFrame, distinct: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links ``src, dst`` between the keys of near texts of different classes in a band; ``members`` has ``band, n, key, class``.
+
+    Both it and ``distinct`` are read more than once and should be written tables.
+    """
     wanted = distinct.join(members.select("key").distinct(), "key").select("key", "first_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +152,11 @@ def near_links(distinct: DataFrame, docs: DataFrame, text: str = "text") -> Data
     whole = texts.mapInArrow(packed, "key long, own binary").dropDuplicates(["key"])
     tiles = F.ceil(F.col("n") / TILE_ROWS)
     tiled = members.join(whole, "key").withColumn("own_tile", F.pmod(F.xxhash64("key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    tiled = tiled.select("band", F.least("own_tile", "other").alias("a"), F.greatest("own_tile", "other").alias("b"), "key", "own")
+    tiled = tiled.select("band", F.least("own_tile", "other").alias("a"), F.greatest("own_tile", "other").alias("b"), "key", "class", "own")
 
     def compare(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
-        found = links([shingle_set(zlib.decompress(z.as_py()).decode()) for z in table.column("own")])
+        found = links([shingle_set(zlib.decompress(z.as_py()).decode()) for z in table.column("own")], table.column("class").to_numpy())
         src, dst = (np.array([keys[p[side]] for p in found], np.int64) for side in (0, 1))
         return pa.table({"src": src, "dst": dst})
 
@@ -144,17 +175,28 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([text_key(t.as_py()) for t in batch.column(1)], pa.int64())
-            bands = pa.array([band_keys(shingle_set(t.as_py())) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, bands], names=["doc_id", "key", "bands"])
-
+            fps, bands = np.zeros(batch.num_rows, np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                own = digests(t.as_py())
+                fps[i] = simhash.majority(own)
+                bands.append(band_keys(np.unique(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "bands"])
+
+    spark = docs.sparkSession
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    own = rows.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, key long, bands array<long>")
-    distinct = keep(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "distinct")
-    comps = connected_components(near_links(distinct, rows, text)).select(F.col("node").alias("key"), "component")
+    own = rows.select("doc_id", F.col(text).alias("t")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+    distinct = keep(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    members = keep(tree_groups(distinct), "members")
+    near = keep(near_links(members, distinct, rows, text), "links")
+    classes = connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("class"))
+    drop(spark, members)
+    members = keep(band_groups(distinct, classes), "members")
+    comps = connected_components(near.unionByName(near_links(members, distinct, rows, text))).select(F.col("node").alias("key"), "component")
     joined = distinct.select("key", "first_id").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = keep(joined.join(least, "component").select("key", "first_id", "component", "component_id"), "component-of")
-    drop(docs.sparkSession, distinct)
+    for made in (distinct, members, near, classes):
+        drop(spark, made)
     return found
 
 

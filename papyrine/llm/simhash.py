@@ -34,6 +34,14 @@ HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 ALL_BITS = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' digests, repeats included; 0 without any."""
+    counts, block = np.zeros(64, np.int64), 1 << 16
+    for i in range(0, len(hashes), block):
+        counts += np.unpackbits(hashes[i : i + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 without a word."""
     import xxhash

@@ -780,3 +780,32 @@ def test_license_notices_as_written(spark):
     got = {r["doc_id"]: r for r in license.scan(docs).collect()}
     assert {t: got[i]["licenses"] for i, t in enumerate(NOTICES)} == NOTICES
     assert all(r["n_unmatched"] == 0 for r in got.values())
+
+
+def test_fingerprint_of_five_word_shingles():
+    for text in [*TEXTS, LONG]:
+        assert simhash.majority(shingles.digests(text)) == simhash.fingerprint(text, shingles.WIDTH)
+
+
+def test_near_duplicate_stage_links_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    copy = [*base[:-1], "other"]
+    far = [*base[:30], "one", *base[31:60], "two", *base[61:90], "three", *base[91:120], "four", *base[121:]]
+    texts = [" ".join(t) for t in (base, copy, base[:200] + [f"z{i}" for i in range(200)], far)] + [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(20)]
+    # One pair within the trees' radius, and one text that is similar to both and outside of it.
+    fps = [simhash.fingerprint(t, shingles.WIDTH) for t in texts[:4]]
+    assert (fps[0] ^ fps[1]).bit_count() <= simhash.RADIUS < min((fps[i] ^ fps[j]).bit_count() for i, j in ((0, 2), (0, 3), (1, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i for i in range(len(texts))} | {1: 0, 3: 0}
+    assert {r["first_id"]: r["component_id"] for r in shingles.near_components(docs).collect()} == want
+    # Without bands only what the trees propose is linked; without trees' links no class is known.
+    monkeypatch.setattr(shingles, "band_groups", lambda distinct, classes: shingles.tree_groups(distinct).limit(0))
+    assert {r["first_id"]: r["component_id"] for r in shingles.near_components(docs).collect()} == want | {3: 3}
+
+
+def test_links_take_classes_as_linked():
+    sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 5, 10, 500)]
+    assert shingles.links(sets, np.array([7, 7, 7, 8])) == []
+    assert sorted(shingles.links(sets, np.array([7, 8, 7, 9]))) in ([(0, 1)], [(2, 1)])
+    assert len(shingles.links(sets)) == 2
