@@ -244,6 +244,29 @@ def test_n_best_forgets_without_effect(monkeypatch):
     assert small.n_best(text) == pieces.Encoder(data, 2).n_best(text)
 
 
+def test_two_best_of_many_lines_is_the_search_of_each():
+    with open(MODEL, "rb") as f:
+        m = pieces.Model(f.read())
+    rng = random.Random(7)
+    lines = [pieces.SPACE + "".join(rng.choices("ethanion.$%&", k=rng.randint(1, 30))) for _ in range(3000)]
+    lines += [*sorted(m.chars)[:200], "$" * 60, "a", "aa", *rng.sample([p for p in m.index if m.chars.issuperset(p)], 3000)]
+    assert m.two_best(lines) == [m.n_best(x, 2) for x in lines]
+    assert m.two_best(["a"]) == [m.n_best("a", 2)] and len(m.n_best("a", 2)) == 1
+    many, ids, starts = m.tree.find("".join(x + m.tree.gap for x in lines))
+    ends = np.repeat(np.arange(len(many)), many)
+    own = [(a + 1, length, i) for a, (length, _, i) in m.finder.iter("".join(x + m.tree.gap for x in lines))]
+    assert list(zip(ends.tolist(), (ends - starts).tolist(), ids.tolist())) == own
+
+
+def test_new_words_of_texts_are_searched_together(monkeypatch):
+    with open(MODEL, "rb") as f:
+        data = f.read()
+    texts = ["one two, three", "", "two  four", "five.Six seven seven!", "eight " * 50, "nine ***. Ten", " ten 10.5"]
+    want = [pieces.Encoder(data, 3).n_best(t)[:2] for t in texts]
+    monkeypatch.setattr(pieces.Model, "n_best", None)  # no word may be searched alone
+    assert pieces.Encoder(data, 2).many(texts) == want
+
+
 def test_round_trip_of_awkward_rows(spark):
     rows = pieces.round_trip(documents(spark, [*TEXTS, LONG]), MODEL, 2).collect()
     assert len(rows) == len(TEXTS) + 3 and all(r["round_trip"] is not False for r in rows)
